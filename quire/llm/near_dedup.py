@@ -4,9 +4,10 @@
    MinHash band keys and an Odd sketch (the MinHash samples folded into a parity bitmap).
 2. Documents with equal sets become one class; only its least doc_id takes part below, so a group of
    exact copies costs one row a task.
-3. Classes that share a band key are candidates. Round one compares each with the least class of the
-   bucket; round two compares what is then still in different components. Neither writes all pairs
-   of a bucket: the population count of the XOR of two Odd sketches is part of the join condition.
+3. Classes that share a band key are candidates. Round one compares each with a few pivots of the
+   bucket. Round two compares those that are then still in different components, by longer Odd
+   sketches made for them alone. Neither writes all pairs of a bucket: the population count of the
+   XOR of two sketches is part of the join condition, and a pair counts in its first common band only.
 4. Candidates are confirmed on their full shingle sets, read again from the texts.
 5. Links give components.
 
@@ -31,6 +32,10 @@ from quire.llm.components import components
 BANDS, ROWS, SKETCH_WORDS = 45, 6, 8
 #: Differing bits of two Odd sketches of 512 bits beyond which a pair at similarity 0.8 isn't met.
 SKETCH_LIMIT = 150
+#: The longer sketches of round two: samples, 64-bit words and the like limit.
+LONG_SAMPLES, LONG_WORDS, LONG_LIMIT = 1024, 64, 495
+#: Each pivot of a bucket is the member nearest to one of these numbers by XOR. Fixed values.
+PIVOTS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x517CC1B727220A95, 0x369DEA0F31A53F85, 0x27D4EB2F165667C5)
 MEMO_WORDS = 400_000
 
 U = np.uint64
@@ -66,15 +71,15 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-@lru_cache(maxsize=1)
-def _family() -> tuple[np.ndarray, np.ndarray]:
-    ks = np.arange(1, BANDS * ROWS + 1, dtype=U)
+@lru_cache(maxsize=2)
+def _family(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    ks = np.arange(1, samples + 1, dtype=U)
     return (mix(ks * STEP) >> U(32)).astype(np.uint32) | np.uint32(1), (mix(ks * STEP + U(77)) >> U(32)).astype(np.uint32)
 
 
-def minhashes(hashes: np.ndarray, block: int = 2048) -> np.ndarray:
-    """BANDS*ROWS samples of a non-empty set, by multiply-add permutations of 32-bit words."""
-    a, b = _family()
+def minhashes(hashes: np.ndarray, samples: int = BANDS * ROWS, block: int = 2048) -> np.ndarray:
+    """MinHash samples of a non-empty set, by multiply-add permutations of 32-bit words."""
+    a, b = _family(samples)
     h = (hashes >> U(32)).astype(np.uint32)
     best = None
     for at in range(0, len(h), block):
@@ -93,10 +98,10 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity of how many (place, sample) pairs hash to each of 64*SKETCH_WORDS bits."""
-    at = mix(samples.astype(U) + (np.arange(1, len(samples) + 1, dtype=U) << U(32))) % U(64 * SKETCH_WORDS)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def odd_sketch(samples: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parity of how many (place, sample) pairs hash to each of 64 * words bits."""
+    at = mix(samples.astype(U) + (np.arange(1, len(samples) + 1, dtype=U) << U(32))) % U(64 * words)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -141,10 +146,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return with_u.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _close(a: str, b: str, percent: int) -> F.Column:
-    """The size filter and the Odd-sketch filter for two aliased class rows."""
+def long_sketches(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, long (array of LONG_WORDS) of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [odd_sketch(minhashes(shingles(t, k), LONG_SAMPLES), LONG_WORDS) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "long"])
+
+    return texts.mapInArrow(run, "doc_id long, long array<long>")
+
+
+def _sizes(a: str, b: str, percent: int) -> F.Column:
+    return 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+
+
+def _close(a: str, b: str) -> F.Column:
+    """The Odd-sketch filter for two aliased class rows."""
     differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (differ <= SKETCH_LIMIT)
+    return differ <= SKETCH_LIMIT
+
+
+def _close_long(a: str, b: str) -> F.Column:
+    differ = F.aggregate(F.zip_with(f"{a}.long", f"{b}.long", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return differ <= LONG_LIMIT
+
+
+def _first_common_band(a: str, b: str) -> F.Column:
+    """The band at ``a.at`` is the first that both have; bands as 32-bit numbers."""
+    return ~F.exists(F.sequence(F.lit(1), F.col(f"{a}.at")), lambda i: (i < F.col(f"{a}.at")) & (F.element_at(f"{a}.bands32", i) == F.element_at(f"{b}.bands32", i)))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -163,16 +193,17 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = stash(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), *sketch), "classes")
     facts = classes.drop("bands", "set_key")
 
-    bands = classes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").drop("top")
-    members = stash(bands.join(shared, "band").filter("node <> pivot"), "members")
-    candidates = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
-    texts = stash(keep_ids(docs, candidates.select(F.col("node").alias("doc_id")), ["doc_id"]), "texts")
+    bands = classes.select("node", F.posexplode("bands").alias("at", "band"))
+    nearest = [F.min(F.col("node").bitwiseXOR(F.lit(p))).bitwiseXOR(F.lit(p)) for p in PIVOTS]
+    shared = bands.groupBy("band").agg(F.array_distinct(F.array(*nearest)).alias("pivots"), F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").drop("low", "top")
+    members = stash(bands.join(shared, "band"), "members")
+    texts = stash(keep_ids(docs, members.select(F.col("node").alias("doc_id")).distinct(), ["doc_id"]), "texts")
 
-    # Round one: against the least class of each bucket.
-    star = members.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct().alias("p")
+    # Round one: against the pivots of each bucket.
+    star = members.select("node", F.explode("pivots").alias("pivot")).filter("node <> pivot")
+    star = star.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct().alias("p")
     star = star.join(facts.alias("b"), F.col("p.v") == F.col("b.node")).join(facts.alias("a"), F.col("p.u") == F.col("a.node"))
-    first = stash(confirmed(star.filter(_close("a", "b", percent)).select("p.u", "p.v"), texts, k, percent), "links")
+    first = stash(confirmed(star.filter(_sizes("a", "b", percent) & _close("a", "b")).select("p.u", "p.v"), texts, k, percent), "links")
 
     # Rows that repeat a doc_id with different texts tie their classes together.
     of_row = usable.select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
@@ -180,12 +211,18 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = first.union(of_row.join(twice, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))
     roots = components(first)
 
-    # Round two: members of a bucket that are still apart. Those compared with its least class are done.
-    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    # Round two: members of a bucket that are still apart. The pivots are done: they met every member.
+    placed = members.join(roots, "node", "left").select("band", F.expr("at + 1").alias("at"), "node", F.coalesce("root", "node").alias("root"), F.array_contains("pivots", F.col("node")).alias("done"))
+    placed = placed.filter("NOT done").drop("done")
     apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    full = placed.join(apart, "band", "left_semi").join(facts, "node")
+    left = stash(placed.join(apart, "band", "left_semi"), "apart")
+    nodes = left.select("node").distinct()
+    sketched = long_sketches(texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), k).withColumnRenamed("doc_id", "node")
+    known = classes.select("node", "n", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands32"))
+    full = left.join(stash(nodes.join(known, "node").join(sketched, "node"), "sketches"), "node")
     a, b = full.alias("a"), full.alias("b")
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b", percent))
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    rest = a.join(b, same & _sizes("a", "b", percent) & _first_common_band("a", "b") & _close_long("a", "b"))
     second = confirmed(stash(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "pairs"), texts, k, percent)
     roots = stash(components(stash(first.union(second), "links")), "roots")
 

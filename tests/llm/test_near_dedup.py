@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from quire.llm import components as cc
 from quire.llm import near_dedup as nd
@@ -83,17 +82,23 @@ def test_repeated_id_ties_its_texts(spark):
     assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
 
 
+def differing(x, y) -> int:
+    return sum(bin(int(v) & (2**64 - 1)).count("1") for v in x ^ y)
+
+
 def test_sketch_limit_keeps_similar_pairs():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    worst = 0
+    worst = worst_long = 0
     for _ in range(300):
         both = rng.integers(0, 2**63, 160, dtype=np.uint64)
         a, b = (np.concatenate([both, rng.integers(0, 2**63, 20, dtype=np.uint64)]) for _ in range(2))
         x, y = (nd.odd_sketch(nd.minhashes(s)) for s in (a, b))
-        worst = max(worst, sum(bin(int(v) & (2**64 - 1)).count("1") for v in x ^ y))
-    assert worst <= nd.SKETCH_LIMIT
+        worst = max(worst, differing(x, y))
+        x, y = (nd.odd_sketch(nd.minhashes(s, nd.LONG_SAMPLES), nd.LONG_WORDS) for s in (a, b))
+        worst_long = max(worst_long, differing(x, y))
+    assert worst <= nd.SKETCH_LIMIT and worst_long <= nd.LONG_LIMIT
 
 
 def test_components_of_chain_star_and_cycle(spark):
@@ -103,13 +108,16 @@ def test_components_of_chain_star_and_cycle(spark):
     assert got == want
 
 
-def test_pairs_are_not_written_out(spark):
+def test_large_group_of_unequal_copies(spark):
+    """Copies with more or fewer edits: some link only to a few others, some to none."""
     rng = random.Random(1)
-    base = [f"w{i}" for i in range(60)]
+    base = [f"w{i}" for i in range(90)]
     rows = []
-    for i in range(120):
+    for i in range(250):
         w = list(base)
-        w[rng.randrange(60)] = f"x{i}"
+        for at in rng.sample(range(90), rng.randint(0, 12)):
+            w[at] = f"x{i}-{at}"
         rows.append((i, " ".join(w)))
-    got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2)
-    assert got.filter(F.col("component_id") == 0).count() == 120
+    got = {r.doc_id: r.component_id for r in nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == brute(rows, 2, 80)
+    assert len(set(got.values())) > 5
