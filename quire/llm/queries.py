@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import near_dedup, packing, pii, toxicity
+from quire.llm import licenses, near_dedup, packing, pieces, pii, secrets, sketches, toxicity, urls, voronoi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +24,35 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonym_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan_history(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return findings.withColumnRenamed("path", "doc_id").drop("blob")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,4 +62,18 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where DuckDB can express the whole result and stays quick; the others are tested by brute force."""
+    return {
+        "op8_topk": """
+            WITH v AS (
+              SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e
+              FROM embeddings
+              WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+              SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+            )
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s QUALIFY rank <= 10
+        """,
+    }
