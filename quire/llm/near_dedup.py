@@ -33,9 +33,12 @@ BANDS, ROWS, SKETCH_WORDS = 45, 6, 8
 #: Differing bits of two Odd sketches of 512 bits beyond which a pair at similarity 0.8 isn't met.
 SKETCH_LIMIT = 150
 #: The longer sketches of round two: samples, 64-bit words and the like limit.
-LONG_SAMPLES, LONG_WORDS, LONG_LIMIT = 1024, 64, 495
+LONG_SAMPLES, LONG_WORDS, LONG_LIMIT = 2048, 128, 905
 #: Each pivot of a bucket is the member nearest to one of these numbers by XOR. Fixed values.
-PIVOTS = (0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x517CC1B727220A95, 0x369DEA0F31A53F85, 0x27D4EB2F165667C5)
+PIVOTS = (
+    0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x517CC1B727220A95, 0x369DEA0F31A53F85, 0x27D4EB2F165667C5,
+    0x61C8864680B583EB, 0x4CF5AD432745937F, 0x52DCE729DA3ED32B, 0x38495AB5E8C4F6A9, 0x0C1B2E7D95A3F846, 0x7FEB352D1CA68B59,
+)
 MEMO_WORDS = 400_000
 
 U = np.uint64
