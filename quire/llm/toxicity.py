@@ -30,7 +30,11 @@ from quire.llm.common import Memo, append_columns, rows_of, slices
 SAMPLE = 12_000
 MAX_TERMS, CANDIDATES = 400, 5000
 #: Least G statistic of a term: p below 1e-6 for one term, so few of some hundred thousand pass by chance.
-LEAST_G, LEAST_LOG_ODDS = 25.0, 2.0
+LEAST_G, LEAST_LOG_ODDS = 25.0, 3.5
+#: Shares of the sample's toxic documents: that a candidate term occurs in, that a kept one adds, unless it is in so many.
+LEAST_SHARE, LEAST_NEW, COMMON = 0.01, 0.002, 0.08
+#: Weight of near matches that the sample doesn't hold, for whole words and for stems.
+UNSEEN_NEAR = (4.0, 1.0)
 STEM_LENGTHS = range(3, 9)
 FUZZY_FROM = 5
 THRESHOLD = 0.3
@@ -187,11 +191,12 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``bound`` labelled training rows, fewer where documents are missing."""
+    """(text, toxic) of at most ``bound`` labelled training rows: of equal texts one, so that copies don't make terms."""
     known = rows_of(labels, doc_id=F.col("doc_id").cast("long"), toxic=F.col("toxic").cast("int")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     # At most ``bound`` rows of 12 bytes, so it is sent to the documents rather than they to it.
-    return rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    return texts.withColumn("address", F.sha2("text", 256)).dropDuplicates(["address", "toxic"]).select("text", "toxic")
 
 
 def _stem_counts(sample: DataFrame) -> DataFrame:
@@ -242,15 +247,24 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> li
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Bias and slope by Newton steps, lightly held towards slope 1."""
-    w = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 1.0])
-    design, prior = np.stack([np.ones_like(x), x], 1), np.array([1e-3, 1.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (p - y) + prior * (w - np.array([0.0, 1.0]))
+    """Bias and slope by damped Newton steps, held to slope 1: classes that don't overlap have no other maximum."""
+    start = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 1.0])
+    prior, design = np.array([0.01, 1.0]), np.stack([np.ones_like(x), x], 1)
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (prior * (w - start) ** 2).sum())
+
+    w = start.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        grad = design.T @ (p - y) + prior * (w - start)
         step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(prior), grad)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
+        now, size = loss(w), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return float(w[0]), float(max(0.0, w[1]))
 
@@ -269,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
         expected = (t + c) * toxic / n
         g = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / (t + c - expected))).otherwise(0.0))
         log_odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
-        rows = counts.filter("term <> '' AND n_toxic >= 3").filter((g >= LEAST_G) & (log_odds >= LEAST_LOG_ODDS)).orderBy(F.desc(g), "term").limit(CANDIDATES).collect()
+        rows = counts.filter("term <> ''").filter(t >= max(3, LEAST_SHARE * toxic)).filter((g >= LEAST_G) & (log_odds >= LEAST_LOG_ODDS)).orderBy(F.desc(g), "term").limit(CANDIDATES).collect()
         counts.unpersist()
         terms = choose_terms([tuple(r) for r in rows], toxic, clean)
 
@@ -283,14 +297,40 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
         seen = sample.mapInArrow(run, "toxic int, hits array<int>, factors array<double>").collect()  # at most ``bound`` rows
     finally:
         sample.unpersist()
-    with_hit = np.zeros((2, 2 * len(terms)))
-    for row in seen:
-        with_hit[row.toxic, row.hits] += 1
-    weights = np.log((with_hit[1] + 0.5) / (toxic + 1)) - np.log((with_hit[0] + 0.5) / (clean + 1))
-    weights = np.where(with_hit.sum(0) > 0, np.clip(weights, 0, 8), np.where(np.arange(len(weights)) % 2, 1.0, 3.0))
-    evidence = np.array([float(np.dot(weights[row.hits], row.factors)) if row.hits else 0.0 for row in seen])
-    bias, slope = _logistic(evidence, np.array([row.toxic for row in seen], float))
-    return Model(terms, weights.tolist(), bias, slope)
+    return fit(terms, [(r.toxic, r.hits, r.factors) for r in seen], toxic, clean)
+
+
+def fit(terms: list[str], seen: list[tuple[int, list[int], list[float]]], toxic: int, clean: int) -> Model:
+    """Keeps the terms that explain documents no better term does, weighs them, fits the logistic.
+
+    ``seen`` has (label, hits, context factors) of every sampled document. Words that merely go along
+    with a toxic term, as in copies of one document, add no document of their own and go.
+    """
+    places: dict[int, list[int]] = {}
+    for at, (_, hits, _) in enumerate(seen):
+        for hit in hits:
+            places.setdefault(hit, []).append(at)
+    label = np.array([row[0] for row in seen], bool)
+    covered = np.zeros(len(seen), bool)
+
+    def odds(at: np.ndarray) -> float:
+        t = int(label[at].sum())
+        return math.log((t + 0.5) / (toxic + 1)) - math.log((len(at) - t + 0.5) / (clean + 1))
+
+    weights = [0.0] * (2 * len(terms))
+    for i in range(len(terms)):
+        at = np.array(places.get(2 * i, []), int)
+        new = at[~covered[at]]
+        adds = label[new].sum() >= max(2, LEAST_NEW * toxic) and odds(new) >= LEAST_LOG_ODDS
+        if adds or label[at].sum() >= COMMON * toxic and odds(at) >= LEAST_LOG_ODDS:
+            weights[2 * i] = min(8.0, odds(at))
+            covered[at] = True
+            near = np.array(places.get(2 * i + 1, []), int)
+            weights[2 * i + 1] = UNSEEN_NEAR[not terms[i].endswith("$")] if not len(near) else min(8.0, odds(near)) if odds(near) >= LEAST_LOG_ODDS else 0.0
+    evidence = np.array([sum(weights[h] * f for h, f in zip(hits, factors, strict=True)) for _, hits, factors in seen])
+    bias, slope = _logistic(evidence, label.astype(float))
+    kept = [i for i in range(len(terms)) if weights[2 * i]]
+    return Model([terms[i] for i in kept], [weights[2 * i + e] for i in kept for e in (0, 1)], bias, slope)
 
 
 def scores(model: Model, texts: list[str]) -> list[float]:

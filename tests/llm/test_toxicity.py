@@ -97,10 +97,19 @@ def test_odd_rows(spark, corpus, odd_documents, no_documents):
     assert tx.judge(odd_documents, nulls).count() == odd_documents.count()
 
 
+def test_fit_of_classes_that_do_not_overlap():
+    import numpy as np
+
+    bias, slope = tx._logistic(np.array([0.0] * 900 + [8.0, 20.0, 40.0] * 33 + [60.0]), np.array([0.0] * 900 + [1.0] * 100))
+    p = [1 / (1 + np.exp(-(bias + slope * x))) for x in (0, 8, 20, 60)]
+    assert p[0] < 0.1 and min(p[1:]) > 0.8 and 0 < slope < 5
+
+
 def test_accuracy_on_test_documents(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     got = tx.judge(spark.read.parquet(f"{d}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").collect()
     right = sum(r.predicted == r.toxic for r in got)
     caught = sum(r.predicted for r in got if r.toxic) / sum(r.toxic for r in got)
-    assert right / len(got) > 0.97 and caught > 0.8
+    kept = sum(not r.predicted for r in got if not r.toxic) / sum(not r.toxic for r in got)
+    assert right / len(got) > 0.97 and caught > 0.8 and kept > 0.99
