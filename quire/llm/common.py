@@ -62,14 +62,22 @@ class Memo(dict):
     """A bounded memo table: ``memo[key]`` computes on a miss.
 
     It keeps two generations of at most ``cap`` entries; what is still in use moves over. Bound to a
-    worker process, so later tasks of the same worker find it filled.
+    worker process, so later tasks of the same worker find it filled. A worker holds one filled table at
+    a time: the first miss of another one empties it, so that stages of a pipeline don't add up.
     """
 
+    active: Memo | None = None
+
     def __init__(self, make: Callable[[Any], Any], cap: int) -> None:
         super().__init__()
         self.make, self.cap, self.old = make, cap, {}
 
     def __missing__(self, key: Any) -> Any:
+        if Memo.active is not self:
+            if Memo.active is not None:
+                Memo.active.clear()
+                Memo.active.old = {}
+            Memo.active = self
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -39,7 +39,7 @@ PIVOTS = (
     0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x517CC1B727220A95, 0x369DEA0F31A53F85, 0x27D4EB2F165667C5,
     0x61C8864680B583EB, 0x4CF5AD432745937F, 0x52DCE729DA3ED32B, 0x38495AB5E8C4F6A9, 0x0C1B2E7D95A3F846, 0x7FEB352D1CA68B59,
 )
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 U = np.uint64
 M1, M2, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)

@@ -20,7 +20,7 @@ from quire.llm.common import Memo
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž«»“”‘’–—…¿¡€£§°]*")
 
 #: Chunks kept by a worker in each of two generations.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 250_000
 
 
 def default_tokenizer_path() -> str:

@@ -39,7 +39,7 @@ STEM_LENGTHS = range(3, 9)
 FUZZY_FROM = 5
 THRESHOLD = 0.3
 WINDOW, QUOTED, REPORTED = 5, 0.35, 0.6
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 250_000
 
 #: Marks that open or close a quotation, words that introduce one, letter look-alikes.
 OPENING, CLOSING = "\"'“„«‘‚‹", "\"'”“»’›"
