@@ -4,10 +4,11 @@
    MinHash band keys and an Odd sketch (the MinHash samples folded into a parity bitmap).
 2. Documents with equal sets become one class; only its least doc_id takes part below, so a group of
    exact copies costs one row a task.
-3. Classes that share a band key are candidates. Round one compares each with a few pivots of the
-   bucket. Round two compares those that are then still in different components, by longer Odd
-   sketches made for them alone. Neither writes all pairs of a bucket: the population count of the
-   XOR of two sketches is part of the join condition, and a pair counts in its first common band only.
+3. Classes that share a band key are candidates. Round one compares each with the least of its
+   bucket, round two what is then still in another component with a few pivots of the bucket. Round
+   three compares those that are apart even then, by longer Odd sketches made for them alone. None
+   writes all pairs of a bucket: the population count of the XOR of two sketches is part of the join
+   condition, and in round three a pair counts in its first common band only.
 4. Candidates are confirmed on their full shingle sets, read again from the texts.
 5. Links give components.
 
@@ -32,7 +33,7 @@ from quire.llm.components import components
 BANDS, ROWS, SKETCH_WORDS = 45, 6, 8
 #: Differing bits of two Odd sketches of 512 bits beyond which a pair at similarity 0.8 isn't met.
 SKETCH_LIMIT = 150
-#: The longer sketches of round two: samples, 64-bit words and the like limit.
+#: The longer sketches of round three: samples, 64-bit words and the like limit.
 LONG_SAMPLES, LONG_WORDS, LONG_LIMIT = 2048, 128, 905
 #: Each pivot of a bucket is the member nearest to one of these numbers by XOR. Fixed values.
 PIVOTS = (
@@ -180,6 +181,13 @@ def _first_common_band(a: str, b: str) -> F.Column:
     return ~F.exists(F.sequence(F.lit(1), F.col(f"{a}.at")), lambda i: (i < F.col(f"{a}.at")) & (F.element_at(f"{a}.bands32", i) == F.element_at(f"{b}.bands32", i)))
 
 
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, at, node, root: the members of buckets that lie in more than one component."""
+    placed = members.select("band", "at", "node").join(roots, "node", "left").select("band", "at", "node", F.coalesce("root", "node").alias("root"))
+    apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    return placed.join(apart, "band", "left_semi")
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -197,28 +205,35 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     facts = classes.drop("bands", "set_key")
 
     bands = classes.select("node", F.posexplode("bands").alias("at", "band"))
-    nearest = [F.min(F.col("node").bitwiseXOR(F.lit(p))).bitwiseXOR(F.lit(p)) for p in PIVOTS]
-    shared = bands.groupBy("band").agg(F.array_distinct(F.array(*nearest)).alias("pivots"), F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").drop("low", "top")
-    members = stash(bands.join(shared, "band"), "members")
+    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").drop("top")
+    members = stash(bands.join(shared, "band").select("band", F.expr("at + 1").alias("at"), "node", "low"), "members")
     texts = stash(keep_ids(docs, members.select(F.col("node").alias("doc_id")).distinct(), ["doc_id"]), "texts")
 
-    # Round one: against the pivots of each bucket.
-    star = members.select("node", F.explode("pivots").alias("pivot")).filter("node <> pivot")
-    star = star.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct().alias("p")
-    star = star.join(facts.alias("b"), F.col("p.v") == F.col("b.node")).join(facts.alias("a"), F.col("p.u") == F.col("a.node"))
-    first = stash(confirmed(star.filter(_sizes("a", "b", percent) & _close("a", "b")).select("p.u", "p.v"), texts, k, percent), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (u < v), by size, Odd sketch and then the texts."""
+        p = pairs.distinct().alias("p")
+        met = p.join(facts.alias("b"), F.col("p.v") == F.col("b.node")).join(facts.alias("a"), F.col("p.u") == F.col("a.node"))
+        return stash(confirmed(met.filter(_sizes("a", "b", percent) & _close("a", "b")).select("p.u", "p.v"), texts, k, percent), "links")
+
+    # Round one: against the least node of each bucket.
+    links = linked(members.filter("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")))
 
     # Rows that repeat a doc_id with different texts tie their classes together.
     of_row = usable.select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
     twice = of_row.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("top")).filter("u < top")
-    first = first.union(of_row.join(twice, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))
-    roots = components(first)
+    links = links.union(of_row.join(twice, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))
 
-    # Round two: members of a bucket that are still apart. The pivots are done: they met every member.
-    placed = members.join(roots, "node", "left").select("band", F.expr("at + 1").alias("at"), "node", F.coalesce("root", "node").alias("root"), F.array_contains("pivots", F.col("node")).alias("done"))
-    placed = placed.filter("NOT done").drop("done")
-    apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    left = stash(placed.join(apart, "band", "left_semi"), "apart")
+    # Round two: what is still apart from a pivot of its bucket against that pivot.
+    placed = stash(_apart(members, components(links)), "placed")
+    nearest = [F.min(F.col("node").bitwiseXOR(F.lit(p))).bitwiseXOR(F.lit(p)) for p in PIVOTS]
+    placed = placed.join(placed.groupBy("band").agg(F.array_distinct(F.array(*nearest)).alias("pivots")), "band")
+    of_pivot = placed.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")).distinct()
+    star = placed.select("node", "root", F.explode("pivots").alias("pivot")).filter("node <> pivot").distinct().join(of_pivot, "pivot").filter("root <> pivot_root")
+    links = links.union(linked(star.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))))
+
+    # Round three: members that are still apart from each other. The pivots are done: they met every member.
+    others = placed.filter(~F.array_contains("pivots", F.col("node"))).select("band", "at", "node")
+    left = stash(_apart(others, components(links)), "apart")
     nodes = left.select("node").distinct()
     sketched = long_sketches(texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), k).withColumnRenamed("doc_id", "node")
     known = classes.select("node", "n", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands32"))
@@ -226,8 +241,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     a, b = full.alias("a"), full.alias("b")
     same = (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
     rest = a.join(b, same & _sizes("a", "b", percent) & _first_common_band("a", "b") & _close_long("a", "b"))
-    second = confirmed(stash(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "pairs"), texts, k, percent)
-    roots = stash(components(stash(first.union(second), "links")), "roots")
+    last = confirmed(stash(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "pairs"), texts, k, percent)
+    roots = stash(components(stash(links.union(last), "links")), "roots")
 
     found = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     least = F.coalesce("root", "doc_id")
