@@ -6,13 +6,16 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
-from quire.plans import images, text, work  # noqa: F401
+from quire.plans import images, streams, text, work  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
 
 def plain(value):
+    if value is pd.NA:
+        return None
     if hasattr(value, "item"):
         value = value.item()
     if isinstance(value, float):
