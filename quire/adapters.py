@@ -96,9 +96,8 @@ JOB_PAGES_SQL = """jp AS (SELECT l_orderkey AS job_id, CAST(row_number() OVER (P
   CAST(l_quantity AS BIGINT) AS page_ms, l_returnflag = 'R' AS has_text, CASE WHEN l_partkey % 13 = 0 THEN concat('no image in part ', l_partkey) END AS message FROM lineitem)"""
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, job_id, at_ms, status, current_page, message."""
-    e = table(spark, sf_dir, "events")
+def as_job_events(e: DataFrame) -> DataFrame:
+    """event_id, job_id, at_ms, status, current_page, message of a table or stream of events."""
     status = F.create_map(*[F.lit(x) for x in ("signup", "queued", "view", "processing", "click", "ocr", "purchase", "completed", "error", "failed")])[F.col("event_type")]
     return e.select(
         "event_id",
@@ -110,6 +109,10 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_job_events(table(spark, sf_dir, "events"))
+
+
 EVENTS_SQL = """ev AS (SELECT event_id, user_id AS job_id, CAST(epoch_ms(ts) AS BIGINT) AS at_ms,
   CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'ocr' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS current_page,
