@@ -68,16 +68,21 @@ def flate(page: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(page).tobytes(), 9)
 
 
-def inflate(data: bytes, width: int, height: int, bits: int = 8) -> np.ndarray:
-    """One or eight bits a pixel, inflated to what the page can hold and no further; missing bytes are 0."""
+def unpacked(raw: bytes, width: int, height: int, bits: int = 8) -> np.ndarray:
+    """Rows of one (set: 255) or eight bits a pixel; missing bytes are 0, further ones ignored."""
     if bits not in (1, 8):
         raise ValueError(f"unsupported bits per component: {bits}")
     stride = width if bits == 8 else (width + 7) // 8
-    raw = zlib.decompressobj().decompress(data, stride * height) if stride * height else b""
-    rows = np.frombuffer(raw.ljust(stride * height, b"\0"), np.uint8).reshape(height, stride)
+    rows = np.frombuffer(raw[: stride * height].ljust(stride * height, b"\0"), np.uint8).reshape(height, stride)
     return rows.copy() if bits == 8 else np.unpackbits(rows, axis=1)[:, :width] * np.uint8(255)
 
 
+def inflate(data: bytes, width: int, height: int, bits: int = 8) -> np.ndarray:
+    """:func:`unpacked` of deflated rows, inflated to what the page can hold and no further."""
+    most = (width if bits == 8 else (width + 7) // 8) * height
+    return unpacked(zlib.decompressobj().decompress(data, most) if most else b"", width, height, bits)
+
+
 def over_pages(pages: DataFrame, rule: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """page_id, width, height, data, error: ``rule`` on every page of (page_id, width, height, data).
 
