@@ -107,3 +107,51 @@ def over_pages(pages: DataFrame, rule: Callable[[np.ndarray], np.ndarray]) -> Da
                 yield pa.RecordBatch.from_pylist([one(*(batch.column(i)[at].as_py() for i in range(4)))], schema=schema)
 
     return pages.selectExpr("CAST(page_id AS long) page_id", "CAST(width AS int) width", "CAST(height AS int) height", "data").mapInArrow(run, "page_id long, width int, height int, data binary, error string")
+
+
+def adaptive(page: np.ndarray, radius: int) -> np.ndarray:
+    """White where a pixel is at least the whole mean of its square, which the edge cuts."""
+    h, w = page.shape
+    total = np.zeros((h + 1, w + 1), np.int64)
+    total[1:, 1:] = page.astype(np.int64).cumsum(0).cumsum(1)
+    y, x = np.arange(h), np.arange(w)
+    top, low = np.maximum(y - radius, 0), np.minimum(y + radius + 1, h)
+    left, right = np.maximum(x - radius, 0), np.minimum(x + radius + 1, w)
+    s = total[np.ix_(low, right)] - total[np.ix_(top, right)] - total[np.ix_(low, left)] + total[np.ix_(top, left)]
+    return np.where(page >= s // np.outer(low - top, right - left), 255, 0).astype(np.uint8)
+
+
+def adaptive_radius(level: int) -> int:
+    return max(level, 1) * 4 + 7
+
+
+def _triangle(size: int, to: int) -> np.ndarray:
+    """Weights (to, size) of a triangle as wide as the step between new centres."""
+    step = size / to
+    reach = max(step, 1.0)
+    centre = (np.arange(to) + 0.5) * step - 0.5
+    weights = np.maximum(1 - np.abs(np.arange(size)[None, :] - centre[:, None]) / reach, 0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def triangle(page: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Resampled with a triangle filter, rows first."""
+    made = _triangle(page.shape[0], height) @ page.astype(float) @ _triangle(page.shape[1], width).T
+    return np.floor(np.clip(made, 0, 255) + 0.5).astype(np.uint8)
+
+
+def at_most(page: np.ndarray, side: int) -> np.ndarray:
+    """Scaled down so that neither side is longer than ``side``."""
+    h, w = page.shape
+    if max(h, w) <= side:
+        return page
+    scale = side / max(h, w)
+    return triangle(page, max(int(w * scale), 1), max(int(h * scale), 1))
+
+
+def denoised(page: np.ndarray, level: int, side: int = 1200) -> np.ndarray:
+    """The median ``level`` times on a copy of at most ``side`` pixels, scaled back."""
+    small = at_most(page, side)
+    for _ in range(level):
+        small = median(small, denoise_radius(level))
+    return small if small.shape == page.shape else triangle(small, page.shape[1], page.shape[0])

@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quire.plans import images, streams, text, work  # noqa: F401
+from quire.plans import images, pages, streams, text, work  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
 
