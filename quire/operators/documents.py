@@ -92,7 +92,7 @@ def page_rasters(docs: DataFrame, render: Renderer | None = None, dpi: int = 300
                     found = pdf.images(doc, resources)
                     made, source = (pdf.pixels(doc, found[0][2]), "embedded") if found else (None, None)
                     error = None if found else error or "no image"
-                except (ValueError, KeyError, TypeError) as e:
+                except pdf.BROKEN as e:
                     source, error = None, str(e)
             size = (None, None, None) if made is None else (made.shape[1], made.shape[0], made.tobytes())
             yield path, number, *size, source, error
@@ -151,7 +151,7 @@ def edited_documents(docs: DataFrame, images: DataFrame | None = None, layers: D
             if archive:
                 pdf.add_archive_metadata(doc)
             yield path, pdf.save(doc), None
-        except pdf.PdfError as e:
+        except pdf.BROKEN as e:
             yield path, None, str(e)
 
     return _map(wanted, ["path", "content", "images", "layers"], SAVED, rule)

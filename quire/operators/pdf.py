@@ -36,6 +36,10 @@ class PdfError(ValueError):
     pass
 
 
+#: What a damaged file may raise anywhere between its bytes and its pixels.
+BROKEN = (EOFError, ValueError, KeyError, TypeError, IndexError, AttributeError, OverflowError, RecursionError)
+
+
 class Name(str):
     __slots__ = ()
 
@@ -230,7 +234,8 @@ class Document:
                 for kid in kids:
                     walk(kid, box, resources, depth + 1)
             else:
-                out.append((node, self._box(box), self.get(resources)))
+                found = self.get(resources)
+                out.append((node, self._box(box), found if isinstance(found, dict) else None))
 
         walk((self.catalog or {}).get("Pages"), None, None, 0)
         return out
@@ -250,7 +255,7 @@ class Document:
             if isinstance(stream, Stream):
                 try:
                     out.append(self.decoded(stream))
-                except PdfError:
+                except BROKEN:
                     continue
         return b"\n".join(out)
 
@@ -349,7 +354,7 @@ def _by_search(data: bytes) -> tuple[dict[int, Any], dict[str, Any]]:
     for m in re.finditer(rb"trailer", data):
         try:
             found = Reader(data, m.end()).one()
-        except (EOFError, PdfError):
+        except BROKEN:
             continue
         trailer |= found if isinstance(found, dict) else {}
     return places, trailer
@@ -372,12 +377,12 @@ def load(data: bytes, password: str | None = None) -> Document:
         doc = _filled(data, places, trailer)
         if doc.catalog is None:
             raise PdfError("no catalog")
-    except (PdfError, EOFError, KeyError, TypeError, IndexError):
+    except BROKEN:
         places, trailer = _by_search(data)
         try:
             doc = _filled(data, places, trailer)
-        except (EOFError, TypeError, KeyError, IndexError) as e:
-            raise PdfError(f"broken file: {e!r}") from e
+        except BROKEN as e:
+            raise PdfError(f"broken file: {e}") from e
         if doc.catalog is None:
             catalogs = [n for n, x in doc.objects.items() if isinstance(x, dict) and x.get("Type") == "Catalog"]
             if not catalogs:
@@ -421,7 +426,7 @@ def has_text(content: bytes) -> bool:
                 if x == b"ID":  # an inline image: its bytes aren't operators
                     end = re.compile(rb"[\0\t\n\f\r ]EI(?![^\0\t\n\f\r ()<>\[\]{}/%])").search(content, r.at)
                     r.at = end.end() if end else len(content)
-    except (EOFError, PdfError):
+    except BROKEN:
         return False
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 #: Values that a median block holds at most; bounds the memory of a large page.
 MEDIAN_BLOCK = 32_000_000
 LEAST_TURN = 0.01
+#: Pixels of a page at most, whatever size a file claims.
+MAX_PIXELS = 256 * 1024 * 1024
 
 
 def median(page: np.ndarray, radius: int) -> np.ndarray:
@@ -72,6 +74,8 @@ def unpacked(raw: bytes, width: int, height: int, bits: int = 8) -> np.ndarray:
     """Rows of one (set: 255) or eight bits a pixel; missing bytes are 0, further ones ignored."""
     if bits not in (1, 8):
         raise ValueError(f"unsupported bits per component: {bits}")
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"page too large: {width}x{height}")
     stride = width if bits == 8 else (width + 7) // 8
     rows = np.frombuffer(raw[: stride * height].ljust(stride * height, b"\0"), np.uint8).reshape(height, stride)
     return rows.copy() if bits == 8 else np.unpackbits(rows, axis=1)[:, :width] * np.uint8(255)
@@ -80,7 +84,10 @@ def unpacked(raw: bytes, width: int, height: int, bits: int = 8) -> np.ndarray:
 def inflate(data: bytes, width: int, height: int, bits: int = 8) -> np.ndarray:
     """:func:`unpacked` of deflated rows, inflated to what the page can hold and no further."""
     most = (width if bits == 8 else (width + 7) // 8) * height
-    return unpacked(zlib.decompressobj().decompress(data, most) if most else b"", width, height, bits)
+    try:
+        return unpacked(zlib.decompressobj().decompress(data, most) if 0 < most <= MAX_PIXELS else b"", width, height, bits)
+    except zlib.error as e:
+        raise ValueError(f"flate: {e}") from e
 
 
 def over_pages(pages: DataFrame, rule: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

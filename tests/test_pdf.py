@@ -112,3 +112,25 @@ def test_image_rules():
         pdf.images(doc, None)
     with pytest.raises(pdf.PdfError, match="more than"):
         pdf.inflated(zlib.compress(bytes(100)), 50)
+
+
+def test_damaged_files_only_raise_pdf_errors():
+    rng = np.random.default_rng(11)
+    whole = pdf.save(two_pages())
+    for _ in range(1500):
+        data = bytearray(whole)
+        for at in rng.integers(9, len(data), rng.integers(1, 12)):
+            data[at] = rng.choice(np.frombuffer(b"0 9/<>[](R\xff\n", np.uint8))
+        if rng.random() < 0.3:
+            del data[rng.integers(9, len(data)) :]
+        try:
+            doc = pdf.load(bytes(data))
+        except pdf.PdfError:
+            continue
+        for page, _, resources in doc.pages():  # neither these nor the text of a page may fail
+            pdf.has_text(doc.content(page))
+            for _, _, stream in pdf.images(doc, resources or {}):
+                try:
+                    pdf.pixels(doc, stream)
+                except pdf.BROKEN:
+                    continue
