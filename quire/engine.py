@@ -173,10 +173,11 @@ class Engine:
 
 
 def clean_documents(jobs: DataFrame) -> DataFrame:
-    """A :data:`Process`: page images as black and white Group 4 where ``options.compression`` is ccitt.
+    """A :data:`Process`: page images cleaned where ``options.compression`` is ccitt, others as they were.
 
-    Other jobs keep their images. With ``options.archive`` the file carries PDF/A metadata. All files go
-    to folders that executors mount.
+    ``options`` are those of :class:`raster.Settings`, ``existing_text`` (skip leaves pages with text alone) and
+    ``continue_on_error``; bitonal pages become Group 4, grey ones Flate. A page that can't be cleaned fails its job.
+    With ``options.archive`` the file carries PDF/A metadata. All files go to folders that executors mount.
     """
     spark = jobs.sparkSession
     read = jobs.select("id", "output_path", "options", F.col("input_path").alias("path"))
@@ -184,9 +185,11 @@ def clean_documents(jobs: DataFrame) -> DataFrame:
     content = spark.read.format("binaryFile").load(where).filter(F.col("length") <= pdf.MAX_FILE)
     content = content.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     loaded = read.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(content, "path", "left").withColumn("path", F.col("id"))
-    ccitt = loaded.filter("options['compression'] = 'ccitt'").select("path", "content")
-    black = documents.page_rasters(ccitt).filter("data IS NOT NULL")
-    made = [documents.edited_documents(loaded.filter(want).select("path", "content"), documents.encoded_images(black), archive=flag) for flag, want in ((True, "options['archive'] = 'True'"), (False, "coalesce(options['archive'], '') <> 'True'"))]
+    made = []
+    for flag, want in ((True, "options['archive'] = 'True'"), (False, "coalesce(options['archive'], '') <> 'True'")):
+        mine = loaded.filter(want)
+        images = documents.cleaned_images(mine.filter("options['compression'] = 'ccitt'"))
+        made.append(documents.edited_documents(mine.select("path", "content"), images, archive=flag, strict=True))
     edited = made[0].union(made[1])
     out = edited.join(read.select(F.col("id").alias("path"), "output_path"), "path")
     failed = out.filter("content IS NULL").select(F.col("path").alias("id"), "error")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import pdf
+from quire.operators import pdf, raster
 
 #: Renders (file, page number from 1, dots an inch) to grey pixels, or None where it can't.
 Renderer = Callable[[bytes, int, int], np.ndarray | None]
@@ -68,6 +68,23 @@ def document_pages(docs: DataFrame) -> DataFrame:
     return _map(docs, ["path", "content"], PAGES, rule)
 
 
+def _raster(doc: pdf.Document, content: bytes, number: int, resources: dict | None, render: Renderer | None, dpi: int) -> tuple[np.ndarray | None, str | None, str | None]:
+    made, source, error = None, "rendered", None
+    if render is not None:
+        try:
+            made = render(content, number, dpi)
+        except Exception as e:  # a renderer's failure must not cost the page
+            error = f"render: {e}"
+    if made is None:
+        try:
+            found = pdf.images(doc, resources)
+            made, source = (pdf.pixels(doc, found[0][2]), "embedded") if found else (None, None)
+            error = None if found else error or "no image"
+        except pdf.BROKEN as e:
+            source, error = None, str(e)
+    return made, source, error
+
+
 def page_rasters(docs: DataFrame, render: Renderer | None = None, dpi: int = 300) -> DataFrame:
     """Each page's grey pixels as ``RASTERS``: what ``render`` gives, else the page's first image.
 
@@ -81,19 +98,7 @@ def page_rasters(docs: DataFrame, render: Renderer | None = None, dpi: int = 300
             yield path, None, None, None, None, None, str(e)
             return
         for number, (_, _, resources) in enumerate(doc.pages(), 1):
-            made, source, error = None, "rendered", None
-            if render is not None:
-                try:
-                    made = render(content, number, dpi)
-                except Exception as e:  # a renderer's failure must not cost the page
-                    error = f"render: {e}"
-            if made is None:
-                try:
-                    found = pdf.images(doc, resources)
-                    made, source = (pdf.pixels(doc, found[0][2]), "embedded") if found else (None, None)
-                    error = None if found else error or "no image"
-                except pdf.BROKEN as e:
-                    source, error = None, str(e)
+            made, source, error = _raster(doc, content, number, resources, render, dpi)
             size = (None, None, None) if made is None else (made.shape[1], made.shape[0], made.tobytes())
             yield path, number, *size, source, error
 
@@ -113,6 +118,40 @@ def encoded_images(rasters: DataFrame, codec: str = "ccitt") -> DataFrame:
     return _map(rasters, ["path", "page_number", "width", "height", "data"], ENCODED, rule)
 
 
+def cleaned_images(docs: DataFrame, render: Renderer | None = None, dpi: int = 300) -> DataFrame:
+    """Page images of (path, content, options) as ``ENCODED``, preprocessed as the options say.
+
+    Bitonal pages are ``ccitt``, those not worth binarizing ``flate`` with their greys. Pages with text are left
+    out where ``existing_text`` is skip, and pages without pixels. A page that preprocessing refuses has a row with the
+    reason; with ``continue_on_error`` only where no page of its document could be cleaned.
+    """
+
+    def rule(path: str, content: bytes | None, options: list[tuple[str, str]] | None) -> Iterator[tuple]:
+        options = dict(options or ())
+        try:
+            doc = pdf.load(bytes(content or b""))
+        except pdf.PdfError:  # edited_documents says why
+            return
+        failed, done = [], 0
+        for number, (page, _, resources) in enumerate(doc.pages(), 1):
+            if options.get("existing_text") == "skip" and pdf.has_text(doc.content(page)):
+                continue
+            made, _, _ = _raster(doc, content, number, resources, render, dpi)
+            if made is None:
+                continue
+            try:
+                made, bitonal = raster.preprocessed(made, raster.Settings.of(options))
+                codec = "ccitt" if bitonal else "flate"
+                yield path, number, codec, made.shape[1], made.shape[0], pdf.image_stream(made, codec).data, None
+                done += 1
+            except (ValueError, TypeError) as e:
+                failed.append((path, number, None, None, None, None, str(e)))
+        if options.get("continue_on_error", "").lower() != "true" or not done:
+            yield from failed
+
+    return _map(docs, ["path", "content", "options"], ENCODED, rule)
+
+
 def _as_stream(codec: str, width: int, height: int, data: bytes) -> pdf.Stream:
     shell = pdf.image_stream(np.full((1, 1), 255, np.uint8), codec)
     entries = shell.entries | {"Width": width, "Height": height}
@@ -121,25 +160,30 @@ def _as_stream(codec: str, width: int, height: int, data: bytes) -> pdf.Stream:
     return pdf.Stream(entries, data)
 
 
-def edited_documents(docs: DataFrame, images: DataFrame | None = None, layers: DataFrame | None = None, archive: bool = False) -> DataFrame:
+def edited_documents(docs: DataFrame, images: DataFrame | None = None, layers: DataFrame | None = None, archive: bool = False, strict: bool = False) -> DataFrame:
     """(path, content) with page images replaced, text layers added and, if ``archive``, PDF/A metadata.
 
     ``images`` is what :func:`encoded_images` gives, ``layers`` (path, page_number, operators string).
     Edits of pages that a document doesn't have are ignored, as are null ones. A document that can't be
-    read, or has a page to replace without image resources, has null content and the reason.
+    read, or has a page to replace without image resources, has null content and the reason; if ``strict``
+    also one with an image that has an error.
     """
 
     def by_path(df: DataFrame | None, *columns: str) -> DataFrame:
-        df = docs.select("path").limit(0).select("path", *(F.lit(None).cast(t).alias(n) for n, t in zip(columns, ["int", *["string"] * 4]))) if df is None else df
-        return df.filter(F.col(columns[-1]).isNotNull()).groupBy("path").agg(F.collect_list(F.struct(*columns)).alias("edits"))
+        df = docs.select("path").limit(0).select("path", *(F.lit(None).cast(t).alias(n) for n, t in zip(columns, ["int", *["string"] * 5]))) if df is None else df
+        return df.filter(F.col(columns[-1]).isNotNull() | (F.col("error").isNotNull() if strict and "error" in columns else F.lit(False))).groupBy("path").agg(F.collect_list(F.struct(*columns)).alias("edits"))
 
     wanted = docs.select("path", "content")
-    wanted = wanted.join(by_path(images, "page_number", "codec", "width", "height", "data").withColumnRenamed("edits", "images"), "path", "left")
+    wanted = wanted.join(by_path(images, "page_number", "codec", "width", "height", "error", "data").withColumnRenamed("edits", "images"), "path", "left")
     wanted = wanted.join(by_path(layers, "page_number", "operators").withColumnRenamed("edits", "layers"), "path", "left")
 
     def rule(path: str, content: bytes | None, images: list[dict] | None, layers: list[dict] | None) -> Iterator[tuple]:
         try:
             doc = pdf.load(bytes(content or b""))
+            broken = sorted((e["page_number"], e["error"]) for e in images or () if e["data"] is None)
+            if broken:
+                yield path, None, "page {}: {}".format(*broken[0])
+                return
             pages = dict(enumerate(doc.pages(), 1))
             for e in images or ():
                 if e["page_number"] in pages:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ MEDIAN_BLOCK = 32_000_000
 LEAST_TURN = 0.01
 #: Pixels of a page at most, whatever size a file claims.
 MAX_PIXELS = 256 * 1024 * 1024
+#: Share of dark pixels of a page worth binarizing, both ends included.
+DARK_RANGE = (0.02, 0.70)
 
 
 def median(page: np.ndarray, radius: int) -> np.ndarray:
@@ -162,3 +165,119 @@ def denoised(page: np.ndarray, level: int, side: int = 1200) -> np.ndarray:
     for _ in range(level):
         small = median(small, denoise_radius(level))
     return small if small.shape == page.shape else triangle(small, page.shape[1], page.shape[0])
+
+
+def otsu(page: np.ndarray) -> int:
+    """The lowest threshold of greatest between-class variance; 0 for a page of one value."""
+    counts = np.bincount(page.ravel(), minlength=256).astype(np.int64)
+    w, s = counts.cumsum(), (counts * np.arange(256)).cumsum()
+    at = np.flatnonzero((w > 0) & (w < w[-1]))
+    if not len(at):
+        return 0
+    low, high = w[at].astype(float), (w[-1] - w[at]).astype(float)
+    gap = s[at] / low - (s[-1] - s[at]) / high
+    variance = low * high * gap * gap
+    return int(at[variance.argmax()]) if variance.max() > 0 else 0
+
+
+def thresholded(page: np.ndarray, level: int) -> np.ndarray:
+    return np.where(page > level, 255, 0).astype(np.uint8)
+
+
+def binarizable(page: np.ndarray, level: int) -> bool:
+    return bool(page.size) and DARK_RANGE[0] <= np.count_nonzero(page <= level) / page.size <= DARK_RANGE[1]
+
+
+def fast_path(page: np.ndarray) -> bool:
+    """Pages longer than 2000 pixels a side, or brighter than 200, skip median, morphology and deskew."""
+    h, w = page.shape
+    return max(h, w) > 2000 or int(page.sum(dtype=np.int64)) // max(w, 1) // max(h, 1) > 200
+
+
+def _morph(page: np.ndarray, hit: int) -> np.ndarray:
+    """Any of the 3x3 neighbourhood equal to ``hit`` gives ``hit``, else the other; the border stays."""
+    h, w = page.shape
+    out = page.copy()
+    if h < 3 or w < 3:
+        return out
+    near = page == hit
+    rows = near[:-2] | near[1:-1] | near[2:]
+    out[1:-1, 1:-1] = np.where(rows[:, :-2] | rows[:, 1:-1] | rows[:, 2:], hit, 255 - hit)
+    return out
+
+
+def morphology(page: np.ndarray, level: int, side: int = 1200) -> np.ndarray:
+    """Erode, dilate, dilate, erode ``level // 2`` times (once at least) on a copy of at most ``side`` pixels, scaled back."""
+    small = at_most(page, side)
+    for _ in range(max(level // 2, 1)):
+        for hit in (0, 255, 255, 0):
+            small = _morph(small, hit)
+    return small if small.shape == page.shape else triangle(small, page.shape[1], page.shape[0])
+
+
+def radon_angle(page: np.ndarray, side: int = 800) -> float:
+    """Degrees of the last of the best of 101 directions, by the black pixels of a copy of at most ``side`` pixels."""
+    h, w = page.shape
+    if max(h, w) > side:
+        scale = side / max(h, w)
+        page = nearest(page, max(int(w * scale), 1), max(int(h * scale), 1))
+        h, w = page.shape
+    if not page.size:
+        return 0.0
+    y, x = np.nonzero(page == 0)
+    reach = math.sqrt(w * w + h * h) / 2
+    bins = math.ceil(reach) * 2 + 1
+    best = (-1, 0)
+    for angle in range(-50, 51):
+        turn = math.radians(angle * 0.1)
+        r = (x - w / 2) * math.cos(turn) + (y - h / 2) * math.sin(turn)
+        at = np.floor((r + reach) / (2 * reach) * (bins - 1) + 0.5).astype(np.int64)
+        counts = np.bincount(at[(at >= 0) & (at < bins)], minlength=bins)
+        best = max(best, (int((counts * counts).sum()), angle))
+    return best[1] * 0.1
+
+
+class Settings(NamedTuple):
+    """How a page is cleaned; what a job doesn't name is off."""
+
+    binarization: str = "otsu"
+    fixed_threshold: int = 128
+    denoise_level: int = 0
+    deskew_mode: str = "disabled"
+
+    @classmethod
+    def of(cls, options: dict[str, str]) -> Settings:
+        given = {k: type(cls._field_defaults[k])(v) for k, v in options.items() if k in cls._fields}
+        made = cls(**given)
+        for name, value, allowed in (("binarization", made.binarization, ("otsu", "bradley-roth", "fixed")), ("deskew_mode", made.deskew_mode, ("radon", "hough", "disabled"))):
+            if value not in allowed:
+                raise ValueError(f"unknown {name}: {value}")
+        for name, value in (("fixed_threshold", made.fixed_threshold), ("denoise_level", made.denoise_level)):
+            if not 0 <= value <= 255:
+                raise ValueError(f"{name} out of range: {value}")
+        return made
+
+
+def _binarized(page: np.ndarray, how: Settings) -> np.ndarray:
+    if how.binarization == "bradley-roth":
+        return adaptive(page, adaptive_radius(how.denoise_level))
+    return thresholded(page, how.fixed_threshold if how.binarization == "fixed" else otsu(page))
+
+
+def _deskewed(page: np.ndarray, mode: str) -> np.ndarray:
+    if mode == "hough":
+        raise ValueError("deskew by Hough lines isn't built")
+    return rotate(page, -radon_angle(page)) if mode == "radon" else page
+
+
+def preprocessed(page: np.ndarray, how: Settings, fast: bool | None = None) -> tuple[np.ndarray, bool]:
+    """The cleaned page, and whether it is black (0) and white (255) or, not binarizable, grey."""
+    fast = fast_path(page) if fast is None else fast
+    noisy = not fast and how.denoise_level > 0
+    page = denoised(page, how.denoise_level) if noisy else page
+    bitonal = binarizable(page, otsu(page))
+    if bitonal:
+        page = _binarized(page, how)
+        page = morphology(page, how.denoise_level) if noisy else page
+    page = page if fast else _deskewed(page, how.deskew_mode)
+    return (thresholded(page, otsu(page)) if bitonal else page), bitonal

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.adapters import PAGES_SQL, PIXELS_SQL, grey_pages, table
-from quire.operators import image
+from quire.operators import image, raster
 from quire.plans.registry import query
 
 OTSU_SQL = PIXELS_SQL + """, hist AS (SELECT page_id, g, count(*) AS n FROM pix GROUP BY ALL),
@@ -29,6 +33,22 @@ def binarized(spark: SparkSession, d: str) -> DataFrame:
     return with_level(spark, d).withColumn("bin", image.thresholded(F.col("px"), F.col("level")))
 
 
+def preprocessed(pages: DataFrame, options: dict[str, str]) -> DataFrame:
+    """page_id, width, height, px, bitonal: the preprocess rule on whole pages; options as in :class:`raster.Settings`."""
+    how = raster.Settings.of(options)
+    schema = pa.schema([("page_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("px", pa.list_(pa.int32())), ("bitonal", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page_id, width, height, px in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page, bitonal = raster.preprocessed(np.array(px, np.uint8).reshape(height, width), how)
+                rows.append((page_id, page.shape[1], page.shape[0], page.ravel().tolist(), bitonal))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return pages.select(F.col("page_id").cast("long"), F.col("width").cast("int"), F.col("height").cast("int"), "px").mapInArrow(run, "page_id long, width int, height int, px array<int>, bitonal boolean")
+
+
 @query("img02_histogram", f"WITH {PIXELS_SQL} SELECT page_id, CAST(g AS INTEGER) AS g, count(*) AS n FROM pix GROUP BY ALL")
 def _(spark, d):
     return grey_pages(spark, d).select("page_id", F.explode("px").alias("g")).groupBy("page_id", "g").agg(F.count("*").alias("n"))
@@ -192,8 +212,7 @@ def _(spark, d):
 SELECT page_id, CASE WHEN ok THEN string_agg(CAST(b AS VARCHAR), ',' ORDER BY i) ELSE string_agg(CAST(g AS VARCHAR), ',' ORDER BY i) END AS px, ok AS bitonal FROM bin JOIN k USING (page_id) JOIN pix USING (page_id, i) GROUP BY page_id, ok""")
 def _(spark, d):
     """Level 0, deskew off: the level decides, and only binarizable pages become bitonal."""
-    p = with_level(spark, d).withColumn("bitonal", image.binarizable(F.col("px"), F.col("level")))
-    return p.select("page_id", _text(F.when(F.col("bitonal"), image.thresholded(F.col("px"), F.col("level"))).otherwise(F.col("px"))).alias("px"), "bitonal")
+    return preprocessed(grey_pages(spark, d), {}).select("page_id", _text("px").alias("px"), "bitonal")
 
 
 @query("wn01_prefix_sums", f"WITH {PIXELS_SQL}, hist AS (SELECT page_id, g, count(*) AS n FROM pix GROUP BY ALL) SELECT page_id, CAST(g AS INTEGER) AS g, CAST(sum(n) OVER w AS BIGINT) AS weight, CAST(sum(n * g) OVER w AS BIGINT) AS total FROM hist WINDOW w AS (PARTITION BY page_id ORDER BY g ROWS UNBOUNDED PRECEDING)")
