@@ -194,11 +194,26 @@ SHAPES = re.compile(
     r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9]))"
     r"|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}(?![0-9A-Za-z])"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]))"
-    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9A-Za-z]|[./-][0-9]))"
+    r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]{2}:?[0-9]{2})|[./-][0-9]))"
 )
 MAYBE = re.compile(r"[0-9@]")
 
 
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {c: int(n) for n, cs in (pair.split(":") for pair in (
+    "15:NO 16:BE 18:DK,FK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+    "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+
+
+def shorter(run: str, kind: str) -> list[int]:
+    """Ends of shorter values at the start of a run, longest first: where groups end; for an IBAN of a known country, where its length ends one."""
+    ends = [i for i in range(len(run) - 1, 0, -1) if run[i] in " -" and run[i - 1] not in " -"]
+    if kind == "card":
+        return ends
+    length = IBAN_LENGTHS.get(run[:2])
+    return [i for i in ends if length is None or len(run[:i].replace(" ", "")) == length]
+
+
 class Pseudonymiser:
     def __init__(self, key: bytes = DEFAULT_KEY) -> None:
         self.feistel = Feistel(key)
@@ -206,21 +221,27 @@ class Pseudonymiser:
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, replacement) of validated values, in order, code points.
 
-        A value that fails validation is passed over; the search goes on behind its first character's word.
+        Where the longest run of a card or IBAN fails validation, shorter ones from the same start are tried, longest
+        first; else the value is passed over and the search goes on behind its first group.
         """
         out, at = [], 0
         if not MAYBE.search(text):
             return out
         while m := SHAPES.search(text, at):
-            kind = m.lastgroup
+            kind, end = m.lastgroup, m.end()
             new = RULES[kind](m[0], self.feistel.replace)
+            if new is None and kind in ("card", "iban"):
+                for end in shorter(m[0], kind):
+                    if (new := RULES[kind](m[0][:end], self.feistel.replace)) is not None:
+                        end += m.start()
+                        break
             if new is None and kind in ("card", "iban"):  # the same characters may hold a shorter value of another kind
                 inner = re.match(r"[A-Z]{2}[0-9]{2}|[0-9]+", m[0])
                 at = m.start() + max(1, inner.end() if inner else 1)
                 continue
             if new is not None:
-                out.append((m.start(), m.end(), kind, new))
-            at = m.end()
+                out.append((m.start(), end, kind, new))
+            at = end
         return out
 
     def apply(self, text: str) -> tuple[str, dict[str, int]]:

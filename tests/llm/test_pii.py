@@ -78,3 +78,21 @@ def test_documents_equal_a_plain_search(spark, sf_small):
         for value in re.findall(r"[\w.]+@[\w.]+\.com|\d+\.\d+\.\d+\.\d+|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}", r.text):
             valid = len(value) != 16 or not value.isdigit() or pii.luhn_digit(value[:-1]) == int(value[-1])
             assert (value not in new) == valid
+
+
+@pytest.mark.parametrize(("kind", "value", "rest"), [
+    ("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111111111111111", " 123."), ("card", "5500 0000 0000 0004", " 06/2026"), ("card", "4111-1111-1111-1111", "-99"), ("card", "4111 1111 1111 1111", " 1234 56"),
+    ("iban", "BE68 5390 0754 7034", " EUR"), ("iban", "BE68 5390 0754 7034", " 1250 EUR"), ("iban", "DE89370400440532013000", " EUR"), ("iban", "DE89 3704 0044 0532 0130 00", " BIC"), ("iban", "GB82 WEST 1234 5698 7654 32", " AND"),
+    ("date", "2024-01-15", "T10:20:30Z"), ("date", "2024-01-15", "T1020"), ("date", "2024-01-15", "T10:20+02:00"),
+])
+def test_values_with_text_behind_them(kind, value, rest):
+    text = f"see {value}{rest} x"
+    spans = P.spans(text)
+    assert [(k, text[a:b]) for a, b, k, _ in spans[:1]] == [(kind, value)]
+    new = P.apply(text)[0]
+    assert value not in new and new.endswith(f"{rest} x") and P.spans(new)[0][:3] == spans[0][:3]
+
+
+@pytest.mark.parametrize("text", ["2024-01-15Today", "2024-01-15Tx", "4111 1111 1111 1112 12/27", "BE68 5390 0754 7035 EUR"])
+def test_text_behind_makes_nothing_valid(text):
+    assert P.apply(text)[0] == text
