@@ -4,12 +4,14 @@ Templates are cut into word k-grams and winnowed (the least hash of every window
 from hash to (template, place) is small and fixed, so it travels with the task and documents are
 scanned where they are read, without a shuffle. Hits of one template that lie near one diagonal make
 a candidate; a banded alignment of the whole template against that stretch of the document gives the
-matched words, their coverage and the span.
+matched words, their coverage and the span. Stretches that don't suffice alone are chained: what their
+hits anchor counts, in the order of the template, however much text lies between.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import Memo, rows_of, slices
 
 GRAM, WINDOW, BAND = 3, 2, 12
-#: Share of a template's words that must be aligned; one-line notices (few words) must be there in full.
+#: Share of a template's words that must be aligned; one-line notices (few words) must be there word by word.
 LEAST_COVERAGE, SHORT = 0.7, 16
 MEMO_WORDS = 300_000
 
@@ -54,6 +56,18 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    "LGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"),
+    "LGPL-2.1": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1"),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "MIT-0": ("SPDX-License-Identifier: MIT-0",),
 }
 
 WORD = re.compile(r"[^\W_]+")
@@ -83,7 +97,13 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
 
 
 def align(template: list[str], words: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, last place in ``words``) of the best alignment within a band.
+    """(matched words, first, last place in ``words``) of the best alignment within a band."""
+    pairs = matches(template, words, shift, band)
+    return (len(pairs), pairs[0][1], pairs[-1][1]) if pairs else (0, -1, -1)
+
+
+def matches(template: list[str], words: list[str], shift: int, band: int = BAND) -> list[tuple[int, int]]:
+    """(place in the template, place in ``words``) of the words of the best alignment within a band, in order.
 
     Template word i may meet words[i + shift + d] for |d| <= band; the most matches win, skipping is free
     on either side.
@@ -98,17 +118,56 @@ def align(template: list[str], words: list[str], shift: int, band: int = BAND) -
             if 0 <= at < len(words) and words[at] == word:
                 best = max(best, before[d] + 1)
             now[d] = best
-    i, d = m, int(score[m][:width].argmax())
-    total, first, last = int(score[m][d]), -1, -1
+    i, d, out = m, int(score[m][:width].argmax()), []
     while i > 0 and d >= 0 and score[i][d] > 0:
         at = i - 1 + shift + d - band
         if 0 <= at < len(words) and words[at] == template[i - 1] and score[i][d] == score[i - 1][d] + 1:
-            first, last, i = at, at if last < 0 else last, i - 1
+            i -= 1
+            out.append((i, at))
         elif score[i][d] == score[i - 1][d + 1]:
             i, d = i - 1, d + 1
         else:
             d -= 1
-    return total, first, last
+    return out[::-1]
+
+
+def anchored(pairs: list[tuple[int, int]], first: int, last: int) -> list[tuple[int, int]]:
+    """The pairs of template places ``first`` to ``last`` and those that go on from them word by word."""
+    low = next((n for n, (i, _) in enumerate(pairs) if i >= first), len(pairs))
+    high = next((n for n in range(len(pairs) - 1, -1, -1) if pairs[n][0] <= last), -1)
+    if low > high:
+        return []
+    step = lambda n: (pairs[n][0] + 1, pairs[n][1] + 1) == pairs[n + 1]
+    while low > 0 and step(low - 1):
+        low -= 1
+    while high + 1 < len(pairs) and step(high):
+        high += 1
+    return pairs[low : high + 1]
+
+
+def chains(stretches: list[list[tuple[int, int]]], least: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, last) of stretches joined in the order of the template and of the text.
+
+    The join with most words comes first, of equals the shortest; others are made of the stretches outside it.
+    """
+    left, out = sorted((s for s in stretches if s), key=lambda s: s[0][1]), []
+    while len({i for s in left for i, _ in s}) >= least:
+        ends: list[tuple[int, int, int, int]] = []  # words, -span, last template place, first word, of the best join that ends here
+        for n, s in enumerate(left):
+            best = (len(s), s[0][1] - s[-1][1], s[-1][0], s[0][1])
+            for (words, _, place, start), before in zip(ends, left[:n], strict=True):
+                more = len(s) - max(bisect_right(s, place, key=lambda p: p[0]), bisect_right(s, before[-1][1], key=lambda p: p[1]))
+                if more > 0:
+                    best = max(best, (words + more, start - s[-1][1], s[-1][0], start))
+            ends.append(best)
+        n = max(range(len(ends)), key=lambda n: ends[n][:2])
+        words, _, _, start = ends[n]
+        if words < least:
+            break
+        last = left[n][-1][1]
+        out.append((words, start, last))
+        left = [s for s in left if s[-1][1] < start or s[0][1] > last]
+    return out
 
 
 class Scanner:
@@ -121,17 +180,18 @@ class Scanner:
                 self.index.setdefault(int(hashes[at]), []).append((t, at))
         self.keys = np.sort(np.fromiter(self.index, np.uint64, len(self.index)))
 
-    def candidates(self, words: list[str]) -> list[tuple[int, int]]:
-        """(template, diagonal) once for each stretch of near diagonals and places."""
+    def candidates(self, words: list[str]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """(template, diagonal, its hits as (diagonal, place in the template)) once for each stretch of near diagonals."""
         hashes = grams(words)
         if not len(hashes):
             return []
         near = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hits = sorted((t, int(at) - place) for at in np.nonzero(self.keys[near] == hashes)[0] for t, place in self.index[int(hashes[at])])
-        out: list[tuple[int, int]] = []
-        for t, diagonal in hits:
+        hits = sorted((t, int(at) - place, place) for at in np.nonzero(self.keys[near] == hashes)[0] for t, place in self.index[int(hashes[at])])
+        out: list[tuple[int, int, list[tuple[int, int]]]] = []
+        for t, diagonal, place in hits:
             if not out or out[-1][0] != t or diagonal - out[-1][1] > BAND:
-                out.append((t, diagonal))
+                out.append((t, diagonal, []))
+            out[-1][2].append((diagonal, place))
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, float, int, int, int]]:
@@ -141,13 +201,25 @@ class Scanner:
         """
         words = WORD.findall(text.lower())
         found = []
-        for t, diagonal in self.candidates(words):
+        parts: dict[int, list[list[tuple[int, int]]]] = {}
+        for t, diagonal, hits in self.candidates(words):
             name, n, template = self.templates[t]
+            size = len(template)
+            if size <= SHORT:
+                for at in sorted({d for d, _ in hits}):
+                    if at >= 0 and words[at : at + size] == template:
+                        found.append((size, 1.0, name, n, at, at + size - 1))
+                continue
             low = max(0, diagonal - BAND)
-            part = words[low : diagonal + len(template) + BAND + 1]
-            matched, first, last = align(template, part, diagonal - low)
-            if matched >= (LEAST_COVERAGE if len(template) > SHORT else 1) * len(template):
-                found.append((matched, matched / len(template), name, n, low + first, low + last))
+            pairs = [(i, low + at) for i, at in matches(template, words[low : diagonal + size + BAND + 1], diagonal - low)]
+            if len(pairs) >= LEAST_COVERAGE * size:
+                found.append((len(pairs), len(pairs) / size, name, n, pairs[0][1], pairs[-1][1]))
+            places = [p for _, p in hits]
+            parts.setdefault(t, []).append(anchored(pairs, min(places), max(places) + GRAM - 1))
+        for t, stretches in parts.items():
+            name, n, template = self.templates[t]
+            if len(stretches) > 1:
+                found += [(matched, matched / len(template), name, n, first, last) for matched, first, last in chains(stretches, LEAST_COVERAGE * len(template))]
         if not found:
             return []
         places = [m.span() for m in WORD.finditer(text.lower())]

@@ -54,3 +54,27 @@ def test_rows(spark, odd_documents, no_documents, sf_small):
     got = {r.doc_id for r in lc.scan_licenses(docs).collect()}
     want = {r.doc_id for r in docs.collect() if any(n in r.text for n in ("Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "GNU General Public License, version 3.", "Released under the MIT License."))}
     assert got == want
+
+
+def test_interrupted_texts_are_joined():
+    scan = lc.scanner().scan
+    words = lc.TEMPLATES["MIT"][0].split()
+    half = next(i for i, w in enumerate(words) if w == "The" and words[i + 1] == "above")
+    for added in (0, 12, 13, 60, 400):
+        split = words[:half] + [f"w{i}" for i in range(added)] + words[half:]
+        text = "x " * 40 + " ".join(split) + " y" * 40
+        (name, _, coverage, _, start, end), = scan(text)
+        assert (name, coverage) == ("MIT", 1.0) and text[start:].startswith("Permission") and text[:end].endswith("NONINFRINGEMENT")
+    twice = [*words[:half], *["v"] * 30, *words[half:], *["z"] * 50]
+    assert [f[:3] for f in scan(" ".join(twice * 2))] == [("MIT", 0, 1.0)] * 2
+    assert scan(" ".join(words[half:] + ["w"] * 30 + words[:half])) == []  # not in the template's order
+    assert scan(" ".join(words[:half] + ["w"] * 30 + words[:half])) == []  # the same half twice
+
+
+def test_notices_of_siblings():
+    scan = lc.scanner().scan
+    for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+        assert [f[:3] for f in scan(f"Licensed under CC {kind} 4.0.")] == [(f"CC-{kind}-4.0", 0, 1.0)]
+    assert scan("Licensed under CC BY-XY 4.0.") == [] and scan("Released under the old MIT License.") == []
+    for name in ("GPL-3.0", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause"):
+        assert [f[0] for f in scan(lc.TEMPLATES[name][0])] == [name]
