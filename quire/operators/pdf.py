@@ -14,7 +14,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 
-from quire.operators import fax, raster
+from quire.operators import crypt, fax, jpeg, raster
 
 MAX_FILE, MAX_INFLATED = 512 * 1024 * 1024, 256 * 1024 * 1024
 MAX_DEPTH = 64
@@ -32,10 +32,18 @@ ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 SHOWS_TEXT = {b"Tj", b"TJ", b"'", b'"'}
 
 
+#: Metadata that claims PDF/A-2B. Fixed value.
+XMP = '<?xpacket begin="" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/" pdfaid:part="2" pdfaid:conformance="B"/></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+
+
 class PdfError(ValueError):
     pass
 
 
+class PasswordError(PdfError):
+    """An encrypted file, and no password or a wrong one."""
+
+
 #: What a damaged file may raise anywhere between its bytes and its pixels.
 BROKEN = (EOFError, ValueError, KeyError, TypeError, IndexError, AttributeError, OverflowError, RecursionError)
 
@@ -361,7 +369,7 @@ def _by_search(data: bytes) -> tuple[dict[int, Any], dict[str, Any]]:
 
 
 def load(data: bytes, password: str | None = None) -> Document:
-    """Parses a file; a broken one raises PdfError, an encrypted one with the word password in its message."""
+    """Parses a file, an encrypted one with its password; a broken one raises PdfError, one that stays locked PasswordError."""
     if len(data) > MAX_FILE:
         raise PdfError(f"file too large: {len(data)} bytes (max {MAX_FILE})")
     if b"%PDF-" not in data[:1024]:
@@ -374,13 +382,17 @@ def load(data: bytes, password: str | None = None) -> Document:
         while isinstance(at, int) and at not in seen:
             seen.add(at)
             at = _table(data, at, places, trailer)
-        doc = _filled(data, places, trailer)
+        doc = _filled(data, places, trailer, password)
         if doc.catalog is None:
             raise PdfError("no catalog")
+    except PasswordError:
+        raise
     except BROKEN:
         places, trailer = _by_search(data)
         try:
-            doc = _filled(data, places, trailer)
+            doc = _filled(data, places, trailer, password)
+        except PasswordError:
+            raise
         except BROKEN as e:
             raise PdfError(f"broken file: {e}") from e
         if doc.catalog is None:
@@ -388,28 +400,66 @@ def load(data: bytes, password: str | None = None) -> Document:
             if not catalogs:
                 raise PdfError("no catalog") from None
             doc.trailer["Root"] = Ref(catalogs[-1], 0)
-    if doc.encrypted:
-        raise PdfError("password required" if password is None else "password may be incorrect, or this encryption isn't supported")
     return doc
 
 
-def _filled(data: bytes, places: dict[int, Any], trailer: dict[str, Any]) -> Document:
+def _unlocked(doc: Document, generations: dict[int, int], password: str | None) -> None:
+    """Deciphers the objects of an encrypted file in place; objects within object streams come in the clear from those."""
+    if password is None:
+        raise PasswordError("password required")
+    ref, first = doc.trailer.pop("Encrypt"), doc.get(doc.trailer.get("ID"))
+    first = doc.get(first[0]) if isinstance(first, list) and first else b""
+
+    def resolved(x: Any, depth: int = 0) -> Any:
+        x = doc.get(x)
+        return {k: resolved(v, depth + 1) for k, v in x.items()} if isinstance(x, dict) and depth < MAX_DEPTH else x
+
+    try:
+        security = crypt.unlock(resolved(ref), first if isinstance(first, bytes) else b"", password)
+    except crypt.WrongPassword as e:
+        raise PasswordError(str(e)) from e
+    except BROKEN as e:
+        raise PasswordError(f"broken encryption entries: {e}") from e
+
+    def plain(x: Any, number: int, generation: int) -> Any:
+        if type(x) is bytes:
+            return security.string(x, number, generation)
+        if isinstance(x, list):
+            return [plain(y, number, generation) for y in x]
+        if isinstance(x, dict):
+            return {k: plain(v, number, generation) for k, v in x.items()}
+        if not isinstance(x, Stream) or x.entries.get("Type") == "XRef":
+            return x
+        entries, filters = plain(x.entries, number, generation), doc.filters(x)
+        clear = "Crypt" in filters or not security.metadata and x.entries.get("Type") == "Metadata"
+        if "Crypt" in filters:
+            entries["Filter"] = [Name(f) for f in filters if f != "Crypt"]
+        return Stream(entries, x.data if clear else security.stream(x.data, number, generation))
+
+    for number, x in doc.objects.items():
+        if not (isinstance(ref, Ref) and number == ref.number):
+            doc.objects[number] = plain(x, number, generations.get(number, 0))
+
+
+def _filled(data: bytes, places: dict[int, Any], trailer: dict[str, Any], password: str | None) -> Document:
+    generations: dict[int, int] = {}
     doc = Document(trailer=trailer | {"__at": {n: p for n, p in places.items() if isinstance(p, int)}})
     for number, place in places.items():
         if isinstance(place, int):
             m = OBJECT.match(data, GAP.match(data, place).end()) if place < len(data) else None
             if not m or int(m[1]) != number:
                 raise PdfError(f"object {number} isn't where the table says")
-            doc.objects[number] = _stream_or(doc, data, m.end())
+            doc.objects[number], generations[number] = _stream_or(doc, data, m.end()), int(m[2])
+    if doc.encrypted:
+        _unlocked(doc, generations, password)
     wanted: dict[int, list[int]] = {}
     for number, place in places.items():
         if not isinstance(place, int):
             wanted.setdefault(place[0], []).append(number)
     searched = {n: [] for n, x in doc.objects.items() if isinstance(x, Stream) and x.entries.get("Type") == "ObjStm"}
-    if "Encrypt" not in trailer:
-        for container in (wanted or searched):
-            inner = _objects_of(doc, doc.objects[container])
-            doc.objects |= {n: x for n, x in inner.items() if n in wanted[container]} if wanted else {n: x for n, x in inner.items() if n not in doc.objects}
+    for container in wanted or searched:
+        inner = _objects_of(doc, doc.objects[container])
+        doc.objects |= {n: x for n, x in inner.items() if n in wanted[container]} if wanted else {n: x for n, x in inner.items() if n not in doc.objects}
     doc.trailer.pop("__at")
     return doc
 
@@ -453,6 +503,8 @@ def pixels(doc: Document, stream: Stream) -> np.ndarray:
         p = doc.get(p[0]) if isinstance(p, list) and p else p
         p = p if isinstance(p, dict) else {}
         return fax.decode(stream.data, width, height, _integer(p.get("K"), -1), _integer(p.get("Columns")) or None, p.get("BlackIs1") is True, p.get("EncodedByteAlign") is True)
+    if first == "DCTDecode":
+        return jpeg.decode(stream.data)
     if first not in (None, "FlateDecode"):
         raise PdfError(f"unsupported image filter: {first}")
     page = raster.unpacked(stream.data, width, height, bits) if first is None else raster.inflate(stream.data, width, height, bits)
@@ -505,10 +557,7 @@ def add_archive_metadata(doc: Document) -> None:
     if not isinstance(info, Ref):
         info = doc.trailer["Info"] = doc.add(None)
     doc.objects[info.number] = {"Producer": PRODUCER.encode(), "Creator": PRODUCER.encode()}
-    ids = 'xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/" pdfaid:part="2" pdfaid:conformance="B"'
-    rdf = f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" {ids}/></rdf:RDF>'
-    xmp = f'<?xpacket begin="" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/">{rdf}</x:xmpmeta><?xpacket end="w"?>'
-    ref = doc.add(Stream({"Type": Name("Metadata"), "Subtype": Name("XML")}, xmp.encode()))
+    ref = doc.add(Stream({"Type": Name("Metadata"), "Subtype": Name("XML")}, XMP.encode()))
     (doc.trailer if doc.catalog is None else doc.catalog)["Metadata"] = ref
 
 

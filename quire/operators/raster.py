@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.operators import lines
+
 #: Values that a median block holds at most; bounds the memory of a large page.
 MEDIAN_BLOCK = 32_000_000
 LEAST_TURN = 0.01
@@ -265,9 +267,9 @@ def _binarized(page: np.ndarray, how: Settings) -> np.ndarray:
 
 
 def _deskewed(page: np.ndarray, mode: str) -> np.ndarray:
-    if mode == "hough":
-        raise ValueError("deskew by Hough lines isn't built")
-    return rotate(page, -radon_angle(page)) if mode == "radon" else page
+    """Turned against the skew of the chosen measure; without one, or without lines, as it was."""
+    angle = radon_angle(page) if mode == "radon" else lines.hough_angle(page) if mode == "hough" else None
+    return page if angle is None else rotate(page, -angle)
 
 
 def preprocessed(page: np.ndarray, how: Settings, fast: bool | None = None) -> tuple[np.ndarray, bool]:
