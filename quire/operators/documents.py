@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import pdf, raster
+from quire.operators import pdf, raster, recognition
 
 #: Renders (file, page number from 1, dots an inch) to grey pixels, or None where it can't.
 Renderer = Callable[[bytes, int, int], np.ndarray | None]
@@ -25,6 +25,9 @@ PAGES = "path string, page_number int, width_pt double, height_pt double, has_te
 RASTERS = "path string, page_number int, width int, height int, data binary, source string, error string"
 ENCODED = "path string, page_number int, codec string, width int, height int, data binary, error string"
 SAVED = "path string, content binary, error string"
+IMAGES = "path string, page_number int, name string, width int, height int, bits int, filter string, data binary, error string"
+#: Page images with the words that were recognised on them.
+CLEANED = f"{ENCODED}, page_w double, page_h double, words array<struct<text:string,left:int,top:int,right:int,bottom:int,confidence:double>>"
 
 
 def read_documents(spark: SparkSession, where: str) -> DataFrame:
@@ -36,7 +39,8 @@ def read_documents(spark: SparkSession, where: str) -> DataFrame:
 def _map(df: DataFrame, columns: list[str], schema: str, rule: Callable[..., Iterator[tuple]]) -> DataFrame:
     """``rule`` makes rows of a row's ``columns``; each row leaves in a batch of its own."""
     names = [part.split()[0] for part in schema.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    words = pa.list_(pa.struct([("text", pa.string()), *((c, pa.int32()) for c in ("left", "top", "right", "bottom")), ("confidence", pa.float64())]))
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), CLEANED.rsplit(" ", 1)[1]: words}
     shape = pa.schema([(part.split()[0], kinds[part.split()[1]]) for part in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,16 +52,21 @@ def _map(df: DataFrame, columns: list[str], schema: str, rule: Callable[..., Ite
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def _locked(docs: DataFrame) -> DataFrame:
+    """``docs`` with a password column, null where it has none."""
+    return docs if "password" in docs.columns else docs.withColumn("password", F.lit(None).cast("string"))
+
+
 def document_pages(docs: DataFrame) -> DataFrame:
-    """The pages of (path, content), as ``PAGES``: number, box (null without one), text, count of images.
+    """The pages of (path, content[, password]), as ``PAGES``: number, box (null without one), text, count of images.
 
     A file that can't be read, or null content, gives one row with a null page number and the reason.
     A document without pages gives no row.
     """
 
-    def rule(path: str, content: bytes | None) -> Iterator[tuple]:
+    def rule(path: str, content: bytes | None, password: str | None) -> Iterator[tuple]:
         try:
-            doc = pdf.load(bytes(content or b""))
+            doc = pdf.load(bytes(content or b""), password)
         except pdf.PdfError as e:
             yield path, None, None, None, None, None, str(e)
             return
@@ -65,7 +74,31 @@ def document_pages(docs: DataFrame) -> DataFrame:
             width, height = (box[2] - box[0], box[3] - box[1]) if box else (None, None)
             yield path, number, width, height, pdf.has_text(doc.content(page)), len(pdf.images(doc, resources or {})), None
 
-    return _map(docs, ["path", "content"], PAGES, rule)
+    return _map(_locked(docs), ["path", "content", "password"], PAGES, rule)
+
+
+def document_images(docs: DataFrame) -> DataFrame:
+    """Every image object of every page of (path, content[, password]), as ``IMAGES``: grey pixels, or why there are none.
+
+    An image that several pages show is given for each. A file that can't be read has one row with the reason.
+    """
+
+    def rule(path: str, content: bytes | None, password: str | None) -> Iterator[tuple]:
+        try:
+            doc = pdf.load(bytes(content or b""), password)
+        except pdf.PdfError as e:
+            yield path, *[None] * 7, str(e)
+            return
+        for number, (_, _, resources) in enumerate(doc.pages(), 1):
+            for name, _, stream in pdf.images(doc, resources or {}):
+                bits = doc.get(stream.entries.get("BitsPerComponent"))
+                facts = path, number, name, doc.get(stream.entries["Width"]), doc.get(stream.entries["Height"]), bits if isinstance(bits, int) else None, (doc.filters(stream) or [None])[0]
+                try:
+                    yield *facts, pdf.pixels(doc, stream).tobytes(), None
+                except pdf.BROKEN as e:
+                    yield *facts, None, str(e)
+
+    return _map(_locked(docs), ["path", "content", "password"], IMAGES, rule)
 
 
 def _raster(doc: pdf.Document, content: bytes, number: int, resources: dict | None, render: Renderer | None, dpi: int) -> tuple[np.ndarray | None, str | None, str | None]:
@@ -91,9 +124,9 @@ def page_rasters(docs: DataFrame, render: Renderer | None = None, dpi: int = 300
     A page without either, or with an image that can't be decoded, keeps its row with the reason.
     """
 
-    def rule(path: str, content: bytes | None) -> Iterator[tuple]:
+    def rule(path: str, content: bytes | None, password: str | None) -> Iterator[tuple]:
         try:
-            doc = pdf.load(bytes(content or b""))
+            doc = pdf.load(bytes(content or b""), password)
         except pdf.PdfError as e:
             yield path, None, None, None, None, None, str(e)
             return
@@ -102,7 +135,7 @@ def page_rasters(docs: DataFrame, render: Renderer | None = None, dpi: int = 300
             size = (None, None, None) if made is None else (made.shape[1], made.shape[0], made.tobytes())
             yield path, number, *size, source, error
 
-    return _map(docs, ["path", "content"], RASTERS, rule)
+    return _map(_locked(docs), ["path", "content", "password"], RASTERS, rule)
 
 
 def encoded_images(rasters: DataFrame, codec: str = "ccitt") -> DataFrame:
@@ -118,38 +151,47 @@ def encoded_images(rasters: DataFrame, codec: str = "ccitt") -> DataFrame:
     return _map(rasters, ["path", "page_number", "width", "height", "data"], ENCODED, rule)
 
 
-def cleaned_images(docs: DataFrame, render: Renderer | None = None, dpi: int = 300) -> DataFrame:
-    """Page images of (path, content, options) as ``ENCODED``, preprocessed as the options say.
+def cleaned_images(docs: DataFrame, render: Renderer | None = None, dpi: int = 300, recogniser: recognition.Factory | None = None) -> DataFrame:
+    """Page images of (path, content, options[, password]) as ``CLEANED``, preprocessed as the options say.
 
     Bitonal pages are ``ccitt``, those not worth binarizing ``flate`` with their greys. Pages with text are left
-    out where ``existing_text`` is skip, and pages without pixels. A page that preprocessing refuses has a row with the
+    out where ``existing_text`` is skip, and pages without pixels. With a recogniser (``options`` languages, psm) the words of
+    the cleaned page come along. A page that preprocessing or recognition refuses has a row with the
     reason; with ``continue_on_error`` only where no page of its document could be cleaned.
     """
 
-    def rule(path: str, content: bytes | None, options: list[tuple[str, str]] | None) -> Iterator[tuple]:
+    def rule(path: str, content: bytes | None, options: list[tuple[str, str]] | None, password: str | None) -> Iterator[tuple]:
         options = dict(options or ())
         try:
-            doc = pdf.load(bytes(content or b""))
+            doc = pdf.load(bytes(content or b""), password)
         except pdf.PdfError:  # edited_documents says why
             return
         failed, done = [], 0
-        for number, (page, _, resources) in enumerate(doc.pages(), 1):
+        for number, (page, box, resources) in enumerate(doc.pages(), 1):
             if options.get("existing_text") == "skip" and pdf.has_text(doc.content(page)):
                 continue
             made, _, _ = _raster(doc, content, number, resources, render, dpi)
             if made is None:
                 continue
+            box = box or list(pdf.DEFAULT_BOX)
             try:
                 made, bitonal = raster.preprocessed(made, raster.Settings.of(options))
+                words = None if recogniser is None else recognition.recognised(made, recogniser, recognition.languages_of(options.get("languages")), int(options.get("psm", 3)), dpi)
                 codec = "ccitt" if bitonal else "flate"
-                yield path, number, codec, made.shape[1], made.shape[0], pdf.image_stream(made, codec).data, None
+                yield path, number, codec, made.shape[1], made.shape[0], pdf.image_stream(made, codec).data, None, float(box[2] - box[0]), float(box[3] - box[1]), None if words is None else [w._asdict() for w in words]
                 done += 1
             except (ValueError, TypeError) as e:
-                failed.append((path, number, None, None, None, None, str(e)))
+                failed.append((path, number, None, None, None, None, str(e), None, None, None))
         if options.get("continue_on_error", "").lower() != "true" or not done:
             yield from failed
 
-    return _map(docs, ["path", "content", "options"], ENCODED, rule)
+    return _map(_locked(docs), ["path", "content", "options", "password"], CLEANED, rule)
+
+
+def recognised_words(cleaned: DataFrame) -> DataFrame:
+    """The words of ``CLEANED`` pages, one a row, with the sizes that :func:`recognition.layers` needs."""
+    sizes = (F.col("width").alias("image_w"), F.col("height").alias("image_h"), "page_w", "page_h")
+    return cleaned.select("path", "page_number", *sizes, F.posexplode("words").alias("idx", "w")).select("path", "page_number", "page_w", "page_h", "image_w", "image_h", "idx", "w.*")
 
 
 def _as_stream(codec: str, width: int, height: int, data: bytes) -> pdf.Stream:
@@ -161,7 +203,9 @@ def _as_stream(codec: str, width: int, height: int, data: bytes) -> pdf.Stream:
 
 
 def edited_documents(docs: DataFrame, images: DataFrame | None = None, layers: DataFrame | None = None, archive: bool = False, strict: bool = False) -> DataFrame:
-    """(path, content) with page images replaced, text layers added and, if ``archive``, PDF/A metadata.
+    """(path, content[, password]) with page images replaced, text layers added and, if ``archive``, PDF/A metadata.
+
+    A file that was encrypted is written without encryption.
 
     ``images`` is what :func:`encoded_images` gives, ``layers`` (path, page_number, operators string).
     Edits of pages that a document doesn't have are ignored, as are null ones. A document that can't be
@@ -173,13 +217,13 @@ def edited_documents(docs: DataFrame, images: DataFrame | None = None, layers: D
         df = docs.select("path").limit(0).select("path", *(F.lit(None).cast(t).alias(n) for n, t in zip(columns, ["int", *["string"] * 5]))) if df is None else df
         return df.filter(F.col(columns[-1]).isNotNull() | (F.col("error").isNotNull() if strict and "error" in columns else F.lit(False))).groupBy("path").agg(F.collect_list(F.struct(*columns)).alias("edits"))
 
-    wanted = docs.select("path", "content")
+    wanted = _locked(docs).select("path", "content", "password")
     wanted = wanted.join(by_path(images, "page_number", "codec", "width", "height", "error", "data").withColumnRenamed("edits", "images"), "path", "left")
     wanted = wanted.join(by_path(layers, "page_number", "operators").withColumnRenamed("edits", "layers"), "path", "left")
 
-    def rule(path: str, content: bytes | None, images: list[dict] | None, layers: list[dict] | None) -> Iterator[tuple]:
+    def rule(path: str, content: bytes | None, password: str | None, images: list[dict] | None, layers: list[dict] | None) -> Iterator[tuple]:
         try:
-            doc = pdf.load(bytes(content or b""))
+            doc = pdf.load(bytes(content or b""), password)
             broken = sorted((e["page_number"], e["error"]) for e in images or () if e["data"] is None)
             if broken:
                 yield path, None, "page {}: {}".format(*broken[0])
@@ -198,7 +242,7 @@ def edited_documents(docs: DataFrame, images: DataFrame | None = None, layers: D
         except pdf.BROKEN as e:
             yield path, None, str(e)
 
-    return _map(wanted, ["path", "content", "images", "layers"], SAVED, rule)
+    return _map(wanted, ["path", "content", "password", "images", "layers"], SAVED, rule)
 
 
 def save_documents(docs: DataFrame) -> DataFrame:
@@ -221,4 +265,4 @@ def save_documents(docs: DataFrame) -> DataFrame:
         except OSError as e:
             yield path, None, str(e)
 
-    return _map(docs, ["output_path", "content"], "output_path string, bytes int, error string", rule)
+    return _map(docs, ["output_path", "content"], "output_path string, bytes long, error string", rule)

@@ -18,6 +18,35 @@ def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
     return fs.exists(p) and (not folder or fs.getFileStatus(p).isDirectory())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file readers give it, with its scheme and store."""
+    fs, p = _store(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _store(spark, path)
+    fs.mkdirs(p)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder; false where there was none."""
+    fs, p = _store(spark, path)
+    return fs.delete(p, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Written beside ``path``, then renamed to it: readers see the old file or the new one."""
+    part = f"{path}.part"
+    fs, p = _store(spark, part)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    move(spark, part, path)
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, those of empty files too, which Spark's readers leave out."""
     fs, p = _store(spark, folder)
@@ -46,14 +75,7 @@ def move(spark: SparkSession, path: str, to: str) -> None:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Written beside ``path``, then renamed to it: readers see the old file or the new one."""
-    part = f"{path}.part"
-    fs, p = _store(spark, part)
-    stream = fs.create(p, True)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-    move(spark, part, path)
+    write_bytes(spark, path, text.encode())
 
 
 def load_history(spark: SparkSession, path: str) -> list[dict]:

@@ -6,12 +6,20 @@ is here is the edge around them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 #: Files a micro-batch takes at most: the bound of the reader's queue.
 FILES_PER_TRIGGER = 4
+#: What the engine tells; channels are pipelineProgress, queueState, jobProgress, jobFinished and historyUpdated.
+ENGINE_EVENTS = "channel string, at_ms long, job_id string, payload string"
+#: Milliseconds that must lie between two events of a job, and statuses that always pass.
+INTERVAL, TERMINAL = 50, ("completed", "failed")
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -48,3 +56,58 @@ def window_counts(events: DataFrame, window: str = "1 hour", delay: str = "1 day
     timed = events.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
     counts = timed.groupBy(F.window("at", window).alias("w"), "status").agg(F.count("*").alias("n"))
     return counts.select(F.unix_millis("w.start").alias("window_ms"), "status", "n")
+
+
+def throttled(events: DataFrame, interval: int = INTERVAL, faithful: bool = False) -> DataFrame:
+    """A stream of (event_id, job_id, at_ms, status) without those too soon after the last of their job that passed.
+
+    The time of the last one is kept a job across micro-batches; within one, events go by time and id. Terminal
+    statuses always pass, unless ``faithful`` to writers that drop those too.
+    """
+
+    def rule(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows, kept = pd.concat(list(frames)).sort_values(["at_ms", "event_id"]), []
+        for at, status in zip(rows["at_ms"].tolist(), rows["status"].tolist(), strict=True):
+            passes = last is None or at - last >= interval or not faithful and status in TERMINAL
+            last = at if passes else last
+            kept.append(passes)
+        state.update((last,))
+        yield rows[kept]
+
+    columns = "event_id long, job_id long, at_ms long, status string"
+    return events.select("event_id", "job_id", "at_ms", "status").groupBy("job_id").applyInPandasWithState(rule, columns, "last long", "append", "NoTimeout")
+
+
+def reconciled(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Rows (id, status, percent, ...) after a snapshot (id, status, percent) of the queue.
+
+    Rows that the snapshot no longer has go, unless they were never queued (status pending); the others take its values.
+    """
+    theirs = snapshot.select("id", F.col("status").alias("__status"), F.col("percent").alias("__percent"))
+    both = rows.join(theirs, "id", "left").filter(F.col("__status").isNotNull() | (F.col("status") == "pending"))
+    return both.withColumn("status", F.coalesce("__status", "status")).withColumn("percent", F.coalesce("__percent", "percent")).select(*rows.columns)
+
+
+def reconcile(snapshots: DataFrame, rows: DataFrame, path: str) -> StreamingQuery:
+    """Starts merging a stream of (snapshot, id, status, percent) into ``rows``, one version below ``path`` a micro-batch.
+
+    Only the newest snapshot of a micro-batch counts, as each holds the whole queue. Version -1 is ``rows``; a
+    batch that runs again after a failure starts from the version before its own.
+    """
+    spark = snapshots.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/rows/version=-1")
+
+    def merge(batch: DataFrame, version: int) -> None:
+        newest = batch.agg(F.max("snapshot")).first()[0]
+        before = spark.read.schema(rows.schema).parquet(f"{path}/rows/version={version - 1}")
+        after = before if newest is None else reconciled(before, batch.filter(F.col("snapshot") == newest))
+        after.write.mode("overwrite").parquet(f"{path}/rows/version={version}")
+
+    return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+
+
+def newest_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows after the last micro-batch of :func:`reconcile`."""
+    every = spark.read.parquet(f"{path}/rows")
+    return every.filter(F.col("version") == every.agg(F.max("version")).first()[0]).drop("version")

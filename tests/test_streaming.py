@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from quire.streaming import events
 
 SCHEMA = "at_ms long, status string"
@@ -39,3 +41,34 @@ def test_events_behind_the_watermark_are_dropped(spark, tmp_path):
         spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         events.changelog(events.window_counts(events.event_stream(spark, str(tmp_path / "in"))), out).awaitTermination()
     assert {(r.window_ms, r.n) for r in events.current(spark, out, "window_ms", "status").collect()} == {(10 * day, 3)}
+
+
+def throttled_by_hand(rows, faithful):
+    last, out = {}, []
+    for event, job, at, status in sorted(rows, key=lambda r: (r[2], r[0])):
+        if job not in last or at - last[job] >= 50 or not faithful and status in ("completed", "failed"):
+            out.append(event)
+            last[job] = at
+    return sorted(out)
+
+
+def test_throttle_over_micro_batches(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(4), i * 9 + rng.randrange(5), rng.choice(["ocr", "ocr", "ocr", "completed"])) for i in range(120)]
+    for at in range(0, 120, 30):
+        spark.createDataFrame(rows[at : at + 30], "event_id long, job_id long, at_ms long, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for faithful in (False, True):
+        out = str(tmp_path / f"out{faithful}")
+        stream = events.throttled(events.event_stream(spark, str(tmp_path / "in"), files_per_trigger=1), faithful=faithful)
+        events.changelog(stream, out, mode="append").awaitTermination()
+        got = sorted(r.event_id for r in spark.read.parquet(f"{out}/changes").collect())
+        assert got == throttled_by_hand(rows, faithful) and len(got) < 120
+
+
+def test_snapshots_are_merged_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "queued", 0), ("b", "running", 10), ("new", "pending", 0)], "id string, status string, percent int")
+    for batch in ([(1, "a", "running", 5), (1, "b", "running", 20)], [(2, "a", "running", 50), (3, "a", "completed", 100)]):
+        spark.createDataFrame(batch, "snapshot long, id string, status string, percent int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    events.reconcile(events.event_stream(spark, str(tmp_path / "in"), files_per_trigger=1), rows, out).awaitTermination()
+    assert {tuple(r) for r in events.newest_rows(spark, out).collect()} == {("a", "completed", 100), ("new", "pending", 0)}
