@@ -29,16 +29,15 @@ PIXELS_SQL = PAGES_SQL + ", pix AS (SELECT page_id, unnest(px) AS g, generate_su
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, idx, text, line, x0, confidence: the words of each document."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
-    out = lines.select("page_id", "line", F.posexplode(F.split("line_text", " ")).alias("pos", "text"))
-    n = F.row_number().over(Window.partitionBy("page_id").orderBy("line", "pos")) - 1
-    return out.withColumn("idx", n).withColumn("confidence", ((F.col("page_id") * 31 + F.col("idx") * 17) % 101).cast("long"))
+    lines = F.transform(F.split("text", "\n"), lambda line, at: F.transform(F.split(line, " "), lambda word, pos: F.struct(at.alias("line"), pos.alias("pos"), word.alias("text"))))
+    numbered = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.flatten(lines)).alias("idx", "w"))
+    return numbered.select("page_id", "w.line", "w.pos", "w.text", "idx", ((F.col("page_id") * 31 + F.col("idx") * 17) % 101).cast("long").alias("confidence"))
 
 
 WORDS_SQL = """ln AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
 wd0 AS (SELECT page_id, line, unnest(string_split(line_text, ' ')) AS text, generate_subscripts(string_split(line_text, ' '), 1) - 1 AS pos FROM ln),
 wd1 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY line, pos) - 1 AS idx FROM wd0),
-wd AS (SELECT page_id, line, pos, text, idx, CAST((page_id * 31 + idx * 17) % 101 AS BIGINT) AS confidence FROM wd1)"""
+wd AS MATERIALIZED (SELECT page_id, line, pos, text, idx, CAST((page_id * 31 + idx * 17) % 101 AS BIGINT) AS confidence FROM wd1)"""
 
 BOX = {"x_px": 7, "word_px": 9, "line_px": 22, "image_w": 1275, "image_h": 1650}
 

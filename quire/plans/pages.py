@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.adapters import PAGES_SQL, PIXELS_SQL, SIDE, grey_pages
-from quire.operators import documents, pdf, raster
+from quire.operators import documents, lines, pdf, raster
 from quire.plans.images import BIN_SQL, binarized
 from quire.plans.registry import query
 
@@ -88,6 +88,49 @@ def _(spark, d):
     return _shown(documents.page_rasters(_files(spark, d), render=_first_page))
 
 
+@query("src12_all_images", f"WITH {PAGES_SQL} SELECT {PATH_SQL}, 'Im0' AS name, 8 AS width, 8 AS height, 'FlateDecode' AS filter, array_to_string(px, ',') AS px FROM pg WHERE NOT {BROKEN_SQL}")
+def _(spark, d):
+    rows = documents.document_images(_files(spark, d)).filter("page_number IS NOT NULL")
+    at = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.hex(F.substring("data", i + 1, F.lit(1))), 16, 10))
+    return rows.select("path", "page_number", "name", "width", "height", "filter", F.array_join(at, ",").alias("px"))
+
+
+#: Content streams, and whether they show text.
+CONTENTS = ((b"BT (x) Tj ET", True), (b"[(x) 3 (y)] TJ", True), (b"(x) '", True), (b"q (x Tj) pop Q", False), (b"% (x) Tj\nq Q", False), (b"BI /W 1 /H 1 ID (x) Tj EI Q", False), (b"/Tj gs <547a> pop", False), (b'1 2 (x) "', True), (b"", False))
+
+
+@query("flt02_has_text", f"SELECT vec_id AS page_id, vec_id % {len(CONTENTS)} IN ({', '.join(str(i) for i, (_, shows) in enumerate(CONTENTS) if shows)}) AS has_text FROM embeddings")
+def _(spark, d):
+    """The predicate of content streams, on streams with every operator that shows text and with its look-alikes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shows = [pdf.has_text(CONTENTS[i % len(CONTENTS)][0]) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shows)], names=["page_id", "has_text"])
+
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("page_id")).mapInArrow(run, "page_id long, has_text boolean")
+
+
+@query("img16_hough_angle", "SELECT p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN CAST(0 AS DOUBLE) END AS angle FROM part")
+def _(spark, d):
+    """Pages of 140x120 pixels: upright strokes, level ones (which lean too far), and blank ones. A page a size, as parts share them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, angles = batch.column(0).to_pylist(), []
+            for size in sizes:
+                page = np.full((140, 120), 255, np.uint8)
+                if size % 3 == 0:
+                    page[:, 20 + size % 30 :: 25] = 0
+                elif size % 3 == 1:
+                    page[20 + size % 30 :: 25] = 0
+                angles.append(lines.hough_angle(page))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(angles, pa.float64())], names=["p_size", "angle"])
+
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("part"), "p_size")
+    return part.join(part.select("p_size").distinct().mapInArrow(run, "p_size int, angle double"), "p_size").select("part", "angle")
+
+
 @query("dec05_ccitt", f"WITH {BIN_SQL} SELECT {PATH_SQL}, string_agg(CAST(b AS VARCHAR), ',' ORDER BY i) AS px FROM bin WHERE NOT {BROKEN_SQL} GROUP BY page_id")
 def _(spark, d):
     return _shown(documents.page_rasters(made(_as_pages(binarized(spark, d).select("page_id", F.col("bin").alias("px"))), "ccitt")))

@@ -11,12 +11,13 @@ from quire.plans.registry import query
 PAGE_W, PAGE_H, IMAGE_W, IMAGE_H = 595.0, 842.0, 1275, 1650
 
 _WIDTH_CASES = " ".join(f"WHEN strpos('{chars.replace(chr(39), chr(39) * 2)}', c) > 0 THEN {w}" for chars, w in fn.GLYPH_WIDTHS.items())
-CHARS_SQL = WORDS_SQL + f""", ch AS (SELECT page_id, idx, unnest(string_split(text, '')) AS c FROM wd WHERE text <> ''),
-gw AS (SELECT page_id, idx, CAST(sum(CASE {_WIDTH_CASES} ELSE 500 * octet_length(encode(c)) END) AS BIGINT) AS width FROM ch GROUP BY ALL)"""
-LAYER_SQL = BOXED_SQL + f""", ch AS (SELECT page_id, idx, unnest(string_split(text, '')) AS c FROM wd WHERE text <> ''),
-gw AS (SELECT page_id, idx, CAST(sum(CASE {_WIDTH_CASES} ELSE 500 * octet_length(encode(c)) END) AS BIGINT) AS width FROM ch GROUP BY ALL),
+#: Widths of distinct words: one row a word of the language, not of the pages.
+_GLYPHS_SQL = f""", ch AS (SELECT text, unnest(string_split(text, '')) AS c FROM (SELECT DISTINCT text FROM wd WHERE text <> '')),
+gw AS MATERIALIZED (SELECT text, CAST(sum(CASE {_WIDTH_CASES} ELSE 500 * octet_length(encode(c)) END) AS BIGINT) AS width FROM ch GROUP BY text)"""
+CHARS_SQL = WORDS_SQL + _GLYPHS_SQL
+LAYER_SQL = BOXED_SQL + _GLYPHS_SQL + """,
 ly AS (SELECT bw.*, greatest((right_ - left_) * CAST(595 AS DOUBLE) / 1275 / (width / CAST(1000 AS DOUBLE)), 1.0) AS size,
-  left_ * CAST(595 AS DOUBLE) / 1275 AS x, CAST(842 AS DOUBLE) - bottom_ * CAST(842 AS DOUBLE) / 1650 AS y FROM bw JOIN gw USING (page_id, idx) WHERE confidence >= 30)"""
+  left_ * CAST(595 AS DOUBLE) / 1275 AS x, CAST(842 AS DOUBLE) - bottom_ * CAST(842 AS DOUBLE) / 1650 AS y FROM bw JOIN gw USING (text) WHERE confidence >= 30)"""
 
 
 def kept_words(spark, d):
@@ -50,7 +51,7 @@ def _(spark, d):
     return spark.range(32, 127).select(F.char("id").alias("c")).select("c", fn.word_width(F.col("c")).alias("width"))
 
 
-@query("txt02_word_width", f"WITH {CHARS_SQL} SELECT page_id, idx, width FROM gw")
+@query("txt02_word_width", f"WITH {CHARS_SQL} SELECT page_id, idx, width FROM wd JOIN gw USING (text)")
 def _(spark, d):
     return words(spark, d).filter("text <> ''").select("page_id", F.col("idx").cast("long").alias("idx"), fn.word_width(F.col("text")).alias("width"))
 
@@ -119,11 +120,6 @@ def _(spark, d):
     return table(spark, d, "part").filter(F.contains(F.lower("p_name"), q) | F.contains(F.lower("p_brand"), q)).select("p_partkey")
 
 
-@query("flt02_has_text", "SELECT page_id, regexp_matches(html, '<(p|td|li|h1)[ >]') AS has_text FROM pages")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.col("html").rlike("<(p|td|li|h1)[ >]").alias("has_text"))
-
-
 @query("src01_path_filter", f"WITH {JOBS_SQL} SELECT job_id, input_path FROM jb WHERE ends_with(lower(input_path), '.pdf')")
 def _(spark, d):
     return jobs(spark, d).filter(fn.is_pdf(F.col("input_path"))).select("job_id", "input_path")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire import engine
 from quire.adapters import EVENTS_SQL, JOB_PAGES_SQL, JOBS_SQL, job_events, job_pages, jobs, table
 from quire.functions import scalars as fn
-from quire.operators import queue
+from quire.operators import lines, queue
 from quire.plans.registry import query
 
 J, P, E = JOBS_SQL, JOB_PAGES_SQL, EVENTS_SQL
@@ -133,10 +134,23 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.element_at(F.lit(["otsu", "bradley-roth", "fixed"]), s % 3 + 1).alias("binarization"), F.lit(128).alias("fixed_threshold"), F.when(s % 2 == 0, "radon").otherwise("disabled").alias("deskew_mode"), (s % 5).alias("denoise_level"))
 
 
-@query("prj04_password_strip", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS password, c_name AS path FROM customer")
+@query("prj04_password_strip", "SELECT c_custkey, to_json({'path': c_name, 'languages': CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'deu' END, 'memory_pages': c_nationkey}) AS stored, c_custkey % 2 = 0 AS had_password FROM customer")
 def _(spark, d):
-    o = table(spark, d, "customer").select("c_custkey", F.struct(F.col("c_mktsegment").alias("password"), F.col("c_name").alias("path")).alias("options"))
-    return o.withColumn("options", F.col("options").withField("password", F.lit(None).cast("string"))).select("c_custkey", "options.password", "options.path")
+    """What is stored of a job's options: all but the password, which some jobs have."""
+    c = table(spark, d, "customer")
+    password = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("password")
+    options = F.struct(F.col("c_name").alias("path"), F.when(F.col("c_custkey") % 3 > 0, "deu").alias("languages"), password, F.col("c_nationkey").alias("memory_pages"))
+    o = c.select("c_custkey", options.alias("o"))
+    return o.select("c_custkey", F.to_json(F.col("o").dropFields("password"), {"ignoreNullFields": "false"}).alias("stored"), F.col("o.password").isNotNull().alias("had_password"))
+
+
+@query("prj12_error_kind", f"""WITH {E}, k AS (SELECT event_id, message, CASE WHEN regexp_matches(lower(message), 'password|encrypt') THEN 'encrypted' WHEN event_id % 5 = 0 THEN 'io' ELSE 'parse' END AS kind FROM ev WHERE message IS NOT NULL)
+SELECT event_id, concat(CASE kind WHEN 'encrypted' THEN 'Encrypted PDF: ' WHEN 'io' THEN 'I/O error: no such file: ' ELSE 'PDF parse error: ' END, message) AS told FROM k""")
+def _(spark, d):
+    e = job_events(spark, d).filter("message IS NOT NULL")
+    locked = F.lower("message").rlike("password|encrypt")
+    reason = F.when(~locked & (F.col("event_id") % 5 == 0), F.concat(F.lit("no such file: "), "message")).otherwise(F.col("message"))
+    return e.select("event_id", engine.failure(reason).alias("told"))
 
 
 @query("prj05_status", f"WITH {J} SELECT job_id, CASE status WHEN 'running' THEN 'processing' WHEN 'completed' THEN 'complete' WHEN 'failed' THEN 'error' WHEN 'cancelled' THEN 'paused' ELSE 'pending' END AS label FROM jb")
@@ -331,9 +345,13 @@ def _(spark, d):
     return j.join(j.filter("job_id % 8 = 0"), "job_id", "left_anti")
 
 
-@query("set03_clear", f"WITH {J} SELECT job_id, status FROM jb WHERE FALSE")
+@query("set03_clear", f"WITH {J} SELECT 'history' AS kept, count(*) AS n FROM jb WHERE status IN ('completed', 'failed') UNION ALL SELECT 'queue', 0")
 def _(spark, d):
-    return jobs(spark, d).select("job_id", "status").filter(F.lit(False))
+    """Clearing empties the queue and leaves the history."""
+    j = jobs(spark, d).select("job_id", "status")
+    history = j.filter("status IN ('completed', 'failed')")
+    queue_after = j.join(j.select("job_id"), "job_id", "left_anti")
+    return history.agg(F.lit("history").alias("kept"), F.count("*").alias("n")).union(queue_after.agg(F.lit("queue").alias("kept"), F.count("*").alias("n")))
 
 
 @query("set04_upsert_profile", "WITH old AS (SELECT p_partkey AS ord, trim(p_brand) AS name, p_size AS v FROM part QUALIFY row_number() OVER (PARTITION BY trim(p_brand) ORDER BY p_partkey) = 1), new AS (SELECT trim(p_brand) AS name, max(p_size) AS v FROM part WHERE p_size > 40 GROUP BY 1) SELECT coalesce(old.name, new.name) AS name, old.ord, coalesce(new.v, old.v) AS v FROM old FULL JOIN new ON old.name = new.name")
@@ -433,3 +451,17 @@ def _(spark, d):
 @query("st09_event_fold", f"WITH {E}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY at_ms DESC, event_id DESC) = 1) SELECT job_id, status, CASE WHEN status = 'completed' THEN 100 ELSE current_page END AS progress FROM l")
 def _(spark, d):
     return queue.latest(job_events(spark, d), "job_id", "at_ms", "event_id").select("job_id", "status", F.when(F.col("status") == "completed", 100).otherwise(F.col("current_page")).alias("progress"))
+
+
+@query("ag08_mean_angle", """WITH a AS (SELECT l_orderkey AS page_id, CASE WHEN l_partkey * 7 % 180 > 90 THEN l_partkey * 7 % 180 - 180 ELSE l_partkey * 7 % 180 END AS a FROM lineitem)
+SELECT page_id, round(avg(CASE WHEN abs(a) <= 20 THEN a END), 9) AS skew FROM a GROUP BY page_id""")
+def _(spark, d):
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), (F.col("l_partkey") * 7 % 180).alias("angle"))
+    return lines.mean_skew(found).select("page_id", F.round("skew", 9).alias("skew"))
+
+
+@query("img13_deskew", """SELECT p_partkey AS part, CASE p_size % 3 WHEN 0 THEN -((p_partkey % 101 - 50) / CAST(10 AS DOUBLE)) WHEN 1 THEN -CAST(coalesce(CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 41 - 20 END, 0) AS DOUBLE) ELSE 0.0 END + 0.0 AS turn FROM part""")
+def _(spark, d):
+    p, size = F.col("p_partkey"), F.col("p_size")
+    mode = F.element_at(F.lit(["radon", "hough", "disabled"]), size % 3 + 1)
+    return table(spark, d, "part").select(p.alias("part"), (lines.deskew_turn(mode, (p % 101 - 50) / 10.0, F.when(p % 4 > 0, p % 41 - 20).cast("double")) + 0.0).alias("turn"))
