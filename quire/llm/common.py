@@ -9,9 +9,12 @@ Cluster rules kept here so that the operators need not repeat them:
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -59,33 +62,59 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 class Memo(dict):
-    """A bounded memo table: ``memo[key]`` computes on a miss.
+    """A memo table bounded in bytes: ``memo[key]`` computes on a miss.
 
-    It keeps two generations of at most ``cap`` entries; what is still in use moves over. Bound to a
-    worker process, so later tasks of the same worker find it filled. A worker holds one filled table at
-    a time: the first miss of another one empties it, so that stages of a pipeline don't add up.
+    Keys longer than ``LONGEST`` aren't kept, and a full table starts anew, so it never takes more than
+    ``most`` bytes, whatever the texts. Bound to a worker process: its later tasks find it filled.
     """
 
-    active: Memo | None = None
+    LONGEST = 64
+    #: What an entry takes beside its key and value.
+    ENTRY = 64
 
-    def __init__(self, make: Callable[[Any], Any], cap: int) -> None:
+    def __init__(self, make: Callable[[Any], Any], most: int) -> None:
         super().__init__()
-        self.make, self.cap, self.old = make, cap, {}
+        self.make, self.most, self.room = make, most, most
 
     def __missing__(self, key: Any) -> Any:
-        if Memo.active is not self:
-            if Memo.active is not None:
-                Memo.active.clear()
-                Memo.active.old = {}
-            Memo.active = self
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.cap:
-            self.old = dict(self)
+        value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: Any, value: Any) -> None:
+        if len(key) > self.LONGEST:
+            return
+        self.room -= self.ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
+        if self.room < 0:
             self.clear()
+            self.room = self.most - self.ENTRY - sys.getsizeof(key) - sys.getsizeof(value)
         self[key] = value
-        return value
+
+
+_tool: tuple[Hashable, Any] | None = None
+
+
+def tool(name: Hashable, make: Callable[[], Any]) -> Any:
+    """A large helper (tokenizer, automaton, memo table) of a worker process, made once.
+
+    A worker keeps one: asking for another drops the one before and gives its memory back, so that the
+    stages of a pipeline, which share workers, don't add up.
+    """
+    global _tool
+    if _tool is None or _tool[0] != name:
+        _tool = None
+        give_back()
+        _tool = name, make()
+    return _tool[1]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _slot(keys: list[str]) -> Any:

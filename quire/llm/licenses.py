@@ -21,12 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, rows_of, slices
+from quire.llm.common import Memo, rows_of, slices, tool
 
 GRAM, WINDOW, BAND = 3, 2, 12
 #: Share of a template's words that must be aligned; one-line notices (few words) must be there word by word.
 LEAST_COVERAGE, SHORT = 0.7, 16
-MEMO_WORDS = 300_000
+#: Bytes of the memo table of a worker.
+MEMO_BYTES = 32 << 20
 
 #: Wording of public licences and of the notices that name them.
 TEMPLATES = {
@@ -76,7 +77,7 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("template"
 
 @lru_cache(maxsize=1)
 def _hash() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
+    return Memo(xxhash.xxh3_64_intdigest, MEMO_BYTES)
 
 
 def grams(words: list[str], k: int = GRAM) -> np.ndarray:
@@ -244,9 +245,8 @@ def _back(text: str, at: int) -> int:
     return len(text)
 
 
-@lru_cache(maxsize=1)
 def scanner() -> Scanner:
-    return Scanner()
+    return tool("licenses", Scanner)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

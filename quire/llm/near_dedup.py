@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, drop_ids, keep_ids, rows_of, slices, stash, utf8
+from quire.llm.common import Memo, drop_ids, keep_ids, rows_of, slices, stash, tool, utf8
 from quire.llm.components import components
 
 BANDS, ROWS, SKETCH_WORDS = 45, 6, 8
@@ -40,7 +40,8 @@ PIVOTS = (
     0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x517CC1B727220A95, 0x369DEA0F31A53F85, 0x27D4EB2F165667C5,
     0x61C8864680B583EB, 0x4CF5AD432745937F, 0x52DCE729DA3ED32B, 0x38495AB5E8C4F6A9, 0x0C1B2E7D95A3F846, 0x7FEB352D1CA68B59,
 )
-MEMO_WORDS = 250_000
+#: Bytes of the memo table of a worker.
+MEMO_BYTES = 40 << 20
 
 U = np.uint64
 M1, M2, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -53,9 +54,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=1)
 def _words() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
+    return tool("words", lambda: Memo(xxhash.xxh3_64_intdigest, MEMO_BYTES))
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:

@@ -46,11 +46,11 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int =
     path, end = tokenizer or default_tokenizer_path(), np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         for batch in slices(batches):
             out: list[list] = [[] for _ in PIECES]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece, start, length, ids in cut(encode(text or "") + end, sequence):
+            for doc, made in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for piece, start, length, ids in cut(made + end, sequence):
                     for column, value in zip(out, (doc, piece, start, length, zlib.crc32(ids), ids if with_ids else None), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES, strict=True)], schema=PIECES)

@@ -15,17 +15,17 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, rows_of, slices
+from quire.llm.common import Memo, rows_of, slices, tool
 
 MARK = "▁"
-MEMO_WORDS = 400_000
+#: Bytes of the memo table of a worker.
+MEMO_BYTES = 96 << 20
 
 
 def default_model_path() -> str:
@@ -51,7 +51,7 @@ class Pieces:
         self.whole_words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.piece.values())
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self._build()
-        self.memo = Memo(lambda w: np.asarray(self.viterbi(w)[0], np.int32).tobytes(), MEMO_WORDS)
+        self.memo = Memo(lambda w: np.asarray(self.viterbi(w)[0], np.int32).tobytes(), MEMO_BYTES)
 
     def _build(self) -> None:
         """Goto and failure functions; out[s] is the piece that ends in s, link[s] the next state that has one."""
@@ -135,9 +135,8 @@ class Pieces:
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return tool(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:

@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-from quire.llm.common import Memo
+from quire.llm.common import Memo, tool
 
 #: Characters that are their own NFC form, lower-case one by one and are plain white space if any.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž«»“”‘’–—…¿¡€£§°]*")
 
-#: Chunks kept by a worker in each of two generations.
-MEMO_CHUNKS = 400_000
+#: Bytes of the memo table of a worker, and chunks that reach the tokenizer in one call.
+MEMO_BYTES, CALL = 72 << 20, 16_384
 
 
 def default_tokenizer_path() -> str:
@@ -30,7 +30,7 @@ def default_tokenizer_path() -> str:
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,17 +38,33 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.memo = Memo(self.whole, MEMO_CHUNKS)
+        self.memo = Memo(self.whole, MEMO_BYTES)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def learn(self, chunks: set[str]) -> None:
+        """Remembers the ids of chunks, many in a call: the tokenizer tells which of them an id is from."""
+        rest = iter(chunks)
+        while some := list(islice(rest, CALL)):
+            made = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.asarray(made.ids, dtype="<u4").tobytes(), np.asarray(made.word_ids, dtype=np.int64)
+            ends = 4 * np.searchsorted(of, np.arange(len(some) + 1))
+            for chunk, start, end in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                self.memo.keep(chunk, ids[start:end])
+
     def encode(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and not self.specials.search(text):
             return b"".join(map(self.memo.__getitem__, text.lower().split()))
         return self.whole(text)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, with the chunks that are new to this worker learned first."""
+        chunks = [text.lower().split() if PLAIN.fullmatch(text) and not self.specials.search(text) else None for text in texts]
+        self.learn({c for cs in chunks if cs for c in cs if len(c) <= Memo.LONGEST}.difference(self.memo))
+        get = self.memo.__getitem__
+        return [self.whole(text) if cs is None else b"".join(map(get, cs)) for text, cs in zip(texts, chunks, strict=True)]
+
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    return tool(("tokens", path), lambda: ChunkEncoder(path))

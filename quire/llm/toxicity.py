@@ -17,14 +17,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, append_columns, rows_of, slices
+from quire.llm.common import Memo, append_columns, rows_of, slices, tool
 
 #: Bound of the labelled sample that the model is fitted on (rows with the least hash of doc_id).
 SAMPLE = 12_000
@@ -39,7 +38,8 @@ STEM_LENGTHS = range(3, 9)
 FUZZY_FROM = 5
 THRESHOLD = 0.3
 WINDOW, QUOTED, REPORTED = 5, 0.35, 0.6
-MEMO_CHUNKS = 250_000
+#: Bytes of the memo table of a worker, and states of its automaton, after which either starts anew.
+MEMO_BYTES, STATES = 40 << 20, 8000
 
 #: Marks that open or close a quotation, words that introduce one, letter look-alikes.
 OPENING, CLOSING = "\"'“„«‘‚‹", "\"'”“»’›"
@@ -116,7 +116,7 @@ class FuzzyLexicon:
 
     def match(self, word: str) -> int:
         """0, or 1 + 2 * term + edits (0 or 1): exact before near, whole words before stems."""
-        if len(self.sets) > 100_000:
+        if len(self.sets) > STATES:
             self._reset()
         state, near, moves = self.start, 0, self.moves
         for letter in word:
@@ -155,7 +155,7 @@ class Matcher:
 
     def __init__(self, terms: tuple[str, ...]) -> None:
         self.lexicon = FuzzyLexicon(list(terms))
-        self.memo = Memo(self._chunk, MEMO_CHUNKS)
+        self.memo = Memo(self._chunk, MEMO_BYTES)
 
     def _chunk(self, chunk: str) -> int:
         hits = [h for w in terms_of(chunk) if (h := self.lexicon.match(w))]
@@ -181,9 +181,8 @@ def context(chunks: list[str], i: int) -> float:
     return 1.0
 
 
-@lru_cache(maxsize=2)
 def matcher(terms: tuple[str, ...]) -> Matcher:
-    return Matcher(terms)
+    return tool(("toxicity", terms), lambda: Matcher(terms))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
