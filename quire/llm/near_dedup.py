@@ -5,15 +5,16 @@
 2. Documents with equal sets become one class; only its least doc_id takes part below, so a group of
    exact copies costs one row a task.
 3. Classes that share a band key are candidates. Round one compares each with the least of its
-   bucket, round two what is then still in another component with a few pivots of the bucket. Round
-   three compares those that are apart even then, by longer Odd sketches made for them alone. None
-   writes all pairs of a bucket: the population count of the XOR of two sketches is part of the join
-   condition, and in round three a pair counts in its first common band only.
+   bucket. After it, what of a bucket lies outside the bucket's largest component is compared with one
+   pivot of that component, another one for every bucket, and in the last round with all members of other
+   components, by longer Odd sketches made for those buckets alone. No round writes the pairs of a
+   bucket: the population count of the XOR of two sketches is part of the join condition, and in the
+   last round a pair counts in its first common band only. Large buckets are dealt in salted parts.
 4. Candidates are confirmed on their full shingle sets, read again from the texts.
-5. Links give components.
+5. Links give components; later rounds only contract those of the round before.
 
 With 45 bands of 6 rows a pair at similarity 0.8 meets in no band with probability 1.2e-6, and the
-sketch limit lies more than five standard deviations beyond what similarity 0.8 gives.
+sketch limits lie five standard deviations beyond what similarity 0.8 gives.
 """
 
 from __future__ import annotations
@@ -33,13 +34,12 @@ from quire.llm.components import components
 BANDS, ROWS, SKETCH_WORDS = 45, 6, 8
 #: Differing bits of two Odd sketches of 512 bits beyond which a pair at similarity 0.8 isn't met.
 SKETCH_LIMIT = 150
-#: The longer sketches of round three: samples, 64-bit words and the like limit.
+#: Least similarity that bands and limits are laid out for.
+LEAST_PERCENT = 80
+#: The longer sketches of the last round: samples, 64-bit words and the like limit.
 LONG_SAMPLES, LONG_WORDS, LONG_LIMIT = 2048, 128, 905
-#: Each pivot of a bucket is the member nearest to one of these numbers by XOR. Fixed values.
-PIVOTS = (
-    0, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x517CC1B727220A95, 0x369DEA0F31A53F85, 0x27D4EB2F165667C5,
-    0x61C8864680B583EB, 0x4CF5AD432745937F, 0x52DCE729DA3ED32B, 0x38495AB5E8C4F6A9, 0x0C1B2E7D95A3F846, 0x7FEB352D1CA68B59,
-)
+#: Members of a bucket that one part of it is expected to hold in the last round.
+PART = 4096
 #: Bytes of the memo table of a worker.
 MEMO_BYTES = 40 << 20
 
@@ -177,25 +177,50 @@ def _close_long(a: str, b: str) -> F.Column:
 
 
 def _first_common_band(a: str, b: str) -> F.Column:
-    """The band at ``a.at`` is the first that both have; bands as 32-bit numbers."""
-    return ~F.exists(F.sequence(F.lit(1), F.col(f"{a}.at")), lambda i: (i < F.col(f"{a}.at")) & (F.element_at(f"{a}.bands32", i) == F.element_at(f"{b}.bands32", i)))
+    """The band at ``a.at`` is the first that both have."""
+    return ~F.exists(F.sequence(F.lit(1), F.col(f"{a}.at")), lambda i: (i < F.col(f"{a}.at")) & (F.element_at(f"{a}.bands", i) == F.element_at(f"{b}.bands", i)))
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, at, node, root: the members of buckets that lie in more than one component."""
-    placed = members.select("band", "at", "node").join(roots, "node", "left").select("band", "at", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    return placed.join(apart, "band", "left_semi")
+def _apart(placed: DataFrame) -> DataFrame:
+    """(band, at, node, root) with top, pivot and size of their bucket, where it holds more than one component.
+
+    ``top`` is the component with most members there, ``pivot`` one of its members, another one for each band.
+    """
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), F.col("node"))).alias("least"))
+    largest = F.max(F.struct("n", (-F.col("root")).alias("r"), F.col("least.node").alias("pivot"))).alias("largest")
+    whole = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), largest).filter("parts > 1")
+    whole = stash(whole.select("band", (-F.col("largest.r")).alias("top"), "largest.pivot", "size"), "apart")
+    return placed.select("band", "at", "node", "root").join(whole, "band")
+
+
+def _moved(roots: DataFrame, links: DataFrame, column: str = "root") -> DataFrame | None:
+    """(root, to) for those of the components ``roots`` (node, root) that ``links`` (u, v) join; None without any."""
+    ends = links.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
+    pairs = stash(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).filter("u <> v").distinct(), "joined")
+    if pairs.isEmpty():
+        return None
+    return stash(components(pairs).select(F.col("node").alias(column), F.col("root").alias("to")), "moved")
+
+
+def _after(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """``rows`` with their root brought up to date; a node without one stands for itself."""
+    if moved is None:
+        return rows
+    return rows.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to").select(*rows.columns)
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the least doc_id reachable over links of ``percent`` similarity of k-word
-    shingle sets; ``kept`` marks it. Texts that are null or without words have an empty set and no
-    links. Rows that repeat a doc_id are one document: its links are those of all of its rows. A null
-    doc_id takes no part: component_id null, kept true. An empty table gives an empty result.
+    shingle sets; ``kept`` marks it. ``percent`` below 80 raises, as bands and sketch limits are laid out
+    for that. Texts that are null or without words have an empty set and no links. Rows that repeat a
+    doc_id are one document: its links are those of all of its rows. A null doc_id takes no part:
+    component_id null, kept true. Other columns are ignored, whatever their names; very long texts are
+    read whole. An empty table gives an empty result.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"similarities below {LEAST_PERCENT} percent need other bands and sketch limits")
     docs = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
     sig = stash(signatures(docs, k), "signatures")
     usable = sig.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
@@ -205,7 +230,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     facts = classes.drop("bands", "set_key")
 
     bands = classes.select("node", F.posexplode("bands").alias("at", "band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").drop("top")
+    shared = stash(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").drop("top"), "shared")
     members = stash(bands.join(shared, "band").select("band", F.expr("at + 1").alias("at"), "node", "low"), "members")
     texts = stash(keep_ids(docs, members.select(F.col("node").alias("doc_id")).distinct(), ["doc_id"]), "texts")
 
@@ -213,38 +238,38 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         """The links among pairs (u < v), by size, Odd sketch and then the texts."""
         p = pairs.distinct().alias("p")
         met = p.join(facts.alias("b"), F.col("p.v") == F.col("b.node")).join(facts.alias("a"), F.col("p.u") == F.col("a.node"))
-        return stash(confirmed(met.filter(_sizes("a", "b", percent) & _close("a", "b")).select("p.u", "p.v"), texts, k, percent), "links")
+        return confirmed(met.filter(_sizes("a", "b", percent) & _close("a", "b")).select("p.u", "p.v"), texts, k, percent)
 
-    # Round one: against the least node of each bucket.
+    # Round one: against the least node of each bucket. Rows that repeat a doc_id with different texts tie their classes together.
     links = linked(members.filter("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")))
-
-    # Rows that repeat a doc_id with different texts tie their classes together.
     of_row = usable.select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
     twice = of_row.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("top")).filter("u < top")
     links = links.union(of_row.join(twice, "doc_id").filter("node <> u").select("u", F.col("node").alias("v")))
-
-    # Round two: what is still apart from a pivot of its bucket against that pivot.
-    placed = stash(_apart(members, components(links)), "placed")
-    nearest = [F.min(F.col("node").bitwiseXOR(F.lit(p))).bitwiseXOR(F.lit(p)) for p in PIVOTS]
-    placed = placed.join(placed.groupBy("band").agg(F.array_distinct(F.array(*nearest)).alias("pivots")), "band")
-    of_pivot = placed.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")).distinct()
-    star = placed.select("node", "root", F.explode("pivots").alias("pivot")).filter("node <> pivot").distinct().join(of_pivot, "pivot").filter("root <> pivot_root")
-    links = links.union(linked(star.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))))
-
-    # Round three: members that are still apart from each other. The pivots are done: they met every member.
-    others = placed.filter(~F.array_contains("pivots", F.col("node"))).select("band", "at", "node")
-    left = stash(_apart(others, components(links)), "apart")
-    nodes = left.select("node").distinct()
+    roots = stash(components(stash(links, "links")), "roots")
+
+    # Round two: what is outside the largest component of its bucket against a pivot of that.
+    placed = members.select("band", "at", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = stash(_apart(placed.select("band", "at", "node", "root")), "placed")
+    star = placed.filter("root <> top").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    moved = _moved(roots, linked(star))
+    if moved is not None:
+        placed = stash(_apart(_after(placed, moved)), "placed")
+        roots = stash(_after(roots, moved).union(moved.select(F.col("root").alias("node"), F.col("to").alias("root")).join(roots, "node", "left_anti")), "roots")
+
+    # Last round: against every member of the other components.
+    nodes = stash(placed.select("node").distinct(), "nodes")
     sketched = long_sketches(texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text"), k).withColumnRenamed("doc_id", "node")
-    known = classes.select("node", "n", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands32"))
-    full = left.join(stash(nodes.join(known, "node").join(sketched, "node"), "sketches"), "node")
-    a, b = full.alias("a"), full.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    rest = a.join(b, same & _sizes("a", "b", percent) & _first_common_band("a", "b") & _close_long("a", "b"))
-    last = confirmed(stash(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "pairs"), texts, k, percent)
-    roots = stash(components(stash(links.union(last), "links")), "roots")
-
-    found = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
+    full = stash(placed.drop("pivot").join(stash(nodes.join(classes.drop("set_key"), "node").join(sketched, "node"), "sketches"), "node"), "full")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    a = full.filter("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("a")
+    b = full.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("b")
+    other = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & other
+    rest = a.join(b, same & _sizes("a", "b", percent) & _close("a", "b") & _close_long("a", "b") & _first_common_band("a", "b"))
+    last = confirmed(stash(rest.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")), "pairs"), texts, k, percent)
+    moved = _moved(roots, last)
+
+    found = _after(classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root")), moved)
     least = F.coalesce("root", "doc_id")
     return sig.select("doc_id", "set_key", F.col("n").alias("n_shingles")).join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), least).alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
