@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -21,17 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources import files
+
 #: Words of 64 bits in an id filter: 131,072 rows of 16 bytes, 2 MB, whatever the input's size.
 FILTER_WORDS = 1 << 17
 
-#: Rows turned into Python objects at a time; bounds a worker's memory on long texts.
-SLICE = 256
+#: Rows turned into Python objects at a time, and handed over at a time; they bound a worker's memory on long texts.
+SLICE, BATCH, BATCH_SETTING = 256, 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of this cluster. Only where none is set (tests) a local one is made."""
+    """The shared folder of this cluster. Only where driver and executors are one process (tests) is a local one made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -42,11 +47,29 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stash_path = path
+    return back
+
+
+def release(*stashed: DataFrame) -> None:
+    """Deletes stashed tables that nothing reads any more, neither what is computed nor what is still to be."""
+    for df in stashed:
+        files.remove(df.sparkSession, df.stash_path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand rows to Python in batches of ``BATCH``, unless the session asks for its own number.
+
+    The default of 10,000 texts a batch is held in buffers on both sides, in every task at once.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH))
 
 
 def rows_of(df: DataFrame, **columns: Any) -> DataFrame:
     """Only the columns an operator works on, under its own names: clashing extras fall away."""
+    small_batches(df.sparkSession)
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
@@ -131,16 +154,17 @@ def _bits(ids: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _marked(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+def marked(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with __hit: false where a fixed-size filter rules out that its keys are in ``ids``."""
     slot = _slot(keys)
     hit = F.coalesce(F.getbit("__bits", F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False))
-    marked = df.withColumn("__word", F.shiftright(slot, 6).cast("int")).join(F.broadcast(_bits(ids, keys)), "__word", "left")
-    return marked.withColumn("__hit", hit).drop("__word", "__bits")
+    filtered = df.withColumn("__word", F.shiftright(slot, 6).cast("int")).join(F.broadcast(_bits(ids, keys)), "__word", "left")
+    return filtered.withColumn("__hit", hit).drop("__word", "__bits")
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose keys are in ``ids``: a fixed-size filter spares the shuffle of most others."""
-    return _marked(df, ids, keys).filter("__hit").drop("__hit").join(ids.select(*keys), keys, "left_semi").select(*df.columns)
+    return marked(df, ids, keys).filter("__hit").drop("__hit").join(ids.select(*keys), keys, "left_semi").select(*df.columns)
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,9 +173,9 @@ def drop_ids(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     Only what a fixed-size filter can't rule out is shuffled for the exact anti-join; a fuller
     filter sends more rows that way, never other results.
     """
-    marked = _marked(df, ids, keys)
-    sure = marked.filter("NOT __hit").select(*df.columns)
-    rest = marked.filter("__hit").drop("__hit").join(ids.select(*keys), keys, "left_anti").select(*df.columns)
+    both = marked(df, ids, keys)
+    sure = both.filter("NOT __hit").select(*df.columns)
+    rest = both.filter("__hit").drop("__hit").join(ids.select(*keys), keys, "left_anti").select(*df.columns)
     return sure.unionByName(rest)
 
 
@@ -161,6 +185,7 @@ def append_columns(df: DataFrame, column: str, make: Callable[[list[str]], list[
     ``make`` gets texts (null: empty) and returns one list a field; a field is (name, Arrow type,
     Spark type). With ``replace`` the first field takes the place of ``column`` (null stays null).
     """
+    small_batches(df.sparkSession)
     at = df.columns.index(column)
     added = fields[1:] if replace else fields
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` {t}" for n, _, t in added])

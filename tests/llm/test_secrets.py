@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 
+from quire.llm import queries
 from quire.llm import secrets as sc
 
 
@@ -69,3 +71,32 @@ def test_rows(odd_documents, no_documents):
     findings, _ = sc.scan_history(odd_documents, "doc_id", "text")
     assert findings.count() == odd_documents.count() and findings.filter("base_sha256 IS NULL OR spans IS NULL").count() == 0
     assert sc.scan_history(no_documents, "doc_id", "text")[0].count() == 0
+
+
+def test_the_query_keeps_a_ledger(spark, sf_small, monkeypatch, tmp_path):
+    spark.conf.set(sc.LEDGER_SETTING, str(tmp_path / "ledger"))
+    scanned = []
+    scan = sc._scan
+    monkeypatch.setattr(sc, "_scan", lambda texts: scanned.append(texts.count()) or scan(texts))
+    try:
+        one, two = ({tuple(r) for r in queries.op5_secrets(spark, sf_small).collect()} for _ in range(2))
+        ledger = sc.ledger_of(spark, "x").rows()
+    finally:
+        spark.conf.unset(sc.LEDGER_SETTING)
+    texts = {r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    assert one == two and scanned[0] >= len(texts) and scanned[1] == 0
+    assert ledger.count() == ledger.select("blob").distinct().count() == len(texts)
+
+
+def test_a_hot_blob_and_repeated_rows(spark):
+    rows = [(i, "token = abcdefgh12") for i in range(400)] + [(1, "token = abcdefgh12")] * 50 + [(None, "token = abcdefgh12"), (None, None), (5, "")]
+    findings, fresh = sc.scan_history(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    got = findings.collect()
+    assert len(got) == len(rows) and sum(r.n_assign for r in got) == 451 and fresh.count() == 2
+
+
+@pytest.mark.parametrize("text", ["eyJ" + "-eyJaaaaaaaa" * 90_000, "eyJaaaaaaaaa." * 80_000, "a" * 1_000_000 + "://", "a." * 500_000 + "://x", "a://b" * 200_000, "token " * 160_000, "token" + " " * 1_000_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "AKIA" * 250_000, "f" * 1_000_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    sc.spans(text)
+    assert time.process_time() - began < 10
