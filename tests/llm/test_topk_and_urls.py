@@ -25,7 +25,7 @@ def brute(rows, k, step):
 
 @pytest.mark.parametrize("clusters", [0, 5])
 def test_top_k_equals_brute_force(spark, monkeypatch, clusters):
-    monkeypatch.setattr(voronoi, "QUERY_GROUP", 8)
+    monkeypatch.setattr(voronoi, "QUERY_BLOCK", 8)
     monkeypatch.setattr(voronoi, "CHUNK", 100)
     rng = np.random.default_rng(clusters)
     centres = rng.normal(size=(clusters, 6)) * 9 if clusters else np.zeros((1, 6))
@@ -37,9 +37,36 @@ def test_top_k_equals_brute_force(spark, monkeypatch, clusters):
     assert got == brute(rows, 10, 5)
 
 
-def test_bounds_rule_out_far_groups():
-    pivots = np.array([[100, 0], [-100, 0], [0, 100]])
-    assert voronoi.needed_cells(pivots, {0: (1.0, 1)}, {0: (2.0, 50), 1: (2.0, 50), 2: (2.0, 50)}, 10) == {0: [0]}
+def test_a_hot_vector_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(voronoi, "CHUNK", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.normal(size=3).tolist()) for i in range(400)]
+    got = sorted(tuple(r) for r in voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 4 == 0, 10).collect())
+    assert got == brute(rows, 10, 4)
+
+
+def test_repeated_ids_and_other_lengths_take_part(spark):
+    rows = [(0, [1.0, 1.0]), (1, [5.0, 0.0]), (1, [1.0, 0.0]), (2, [9.0])]
+    got = sorted(tuple(r) for r in voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 10).collect())
+    m = 1024 * 1024
+    assert got == [(0, 1, 2, 9 * m), (0, 2, 1, 5 * m), (0, 3, 1, m)]
+
+
+def pruned(ready):
+    """(query cell, data cell) pairs that the bounds ruled out, and all of them."""
+    return sum(len(ready.cells) - 1 - len(js) for js in ready.needed.values()), sum(len(ready.cells) - 1 for _ in ready.needed)
+
+
+def test_bounds_rule_out_far_groups(spark, sf_small):
+    """Real rows pulled into clusters are ruled out, mostly; as they are, over all directions alike, none can be."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    asked = F.col("vec_id") % 100 == 0
+    out, every = pruned(voronoi.prepare(table, asked))
+    assert every > 0 and out == 0
+    near = table.withColumn("embedding", F.transform("embedding", lambda x, i: x + F.when(i == F.pmod(F.col("vec_id"), F.lit(8)), 9.0).otherwise(0.0)))
+    out, every = pruned(voronoi.prepare(near, asked))
+    assert out > 0.7 * every
 
 
 def test_few_rows(spark):
