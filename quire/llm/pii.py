@@ -4,26 +4,34 @@ A found value is validated (check digits, octets, calendar), mapped to its index
 its format, permuted there and written back in the same layout. The map depends on the key, the kind
 and the value alone, so equal values stay linked across documents however they are punctuated. The
 permutation is E^-1(E(x) + 1): a bijection without fixed points, so no value is left as it was.
+
+The key is the caller's: an argument or the session's ``quire.pii.key``. Where neither is given one is drawn
+for the call, so pseudonyms then link values within its result only, and nobody can undo them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt, prod
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import append_columns, rows_of
 
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "date")
-DEFAULT_KEY = b"quire pseudonyms 1"
+#: The setting that holds the key.
+KEY_SETTING = "quire.pii.key"
+#: Letters of a mail name at most; longer ones are no address.
+LONGEST_NAME = 64
 
 
 class Feistel:
@@ -65,9 +73,13 @@ class Feistel:
 Move = Callable[[int, int, bytes], int]
 
 
+#: What a doubled digit adds to a check sum.
+DOUBLED = {c: 2 * int(c) - 9 * (c > "4") for c in "0123456789"}
+GAPS = str.maketrans("", "", " -")
+
+
 def luhn_digit(payload: str) -> int:
-    total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(payload)))
-    return -total % 10
+    return -(sum(map(DOUBLED.__getitem__, payload[::-2])) + sum(map(int, payload[-2::-2]))) % 10
 
 
 def _relay(layout: str, digits: str) -> str:
@@ -81,7 +93,7 @@ def _digits(s: str) -> str:
 
 
 def _card(s: str, move: Move) -> str | None:
-    d = _digits(s)
+    d = s.translate(GAPS)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != int(d[-1]) or not int(d):
         return None
     n = len(d) - 1
@@ -141,6 +153,8 @@ def _mixed(s: str, move: Move, label: bytes) -> str | None:
 
 def _email(s: str, move: Move) -> str | None:
     local, _, host = s.rpartition("@")
+    if len(local) > LONGEST_NAME:
+        return None
     new = _mixed(local, move, b"email@" + host.lower().encode())
     return new and f"{new}@{host}"
 
@@ -163,31 +177,49 @@ def _iban(s: str, move: Move) -> str | None:
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
+def _shape(field: str, other: str) -> str:
+    """How a day or month is written: one digit, padded (0), two digits for want of one (T), or any padded value (2)."""
+    if len(field) == 1:
+        return "1"
+    if len(other) == 2:
+        return "2"
+    return "0" if field[0] == "0" else "T"
+
+
+@lru_cache(maxsize=128)
+def _days(second: bool, day: str, month: str) -> list[int]:
+    """The dates that a layout of these shapes can hold and that are read back in the same order."""
+    allowed = {"1": range(1, 10), "0": range(1, 10), "T": range(10, 32), "2": range(1, 32)}
+    every = map(dt.date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    return [d.toordinal() for d in every if d.day in allowed[day] and d.month in allowed[month] and (not second or d.day > 12)]
+
+
 def _date(s: str, move: Move) -> str | None:
+    """A valid date becomes another one of the same layout: digits stay as many, and it is read in the same order."""
     a, sep, b, _, c = re.split(r"([-/.])", s)
     orders = ((0, 1, 2),) if len(a) == 4 else ((2, 0, 1), (2, 1, 0)) if sep == "/" else ((2, 1, 0), (2, 0, 1))
-    for order in orders:  # month first with slashes, else day first, whichever is a day of the calendar
+    for nth, order in enumerate(orders):  # month first with slashes, else day first, whichever is a day of the calendar
+        year, month, day = ((a, b, c)[i] for i in order)
         try:
-            day = dt.date(*(int((a, b, c)[i]) for i in order)).toordinal()
+            at = dt.date(int(year), int(month), int(day)).toordinal()
         except ValueError:
             continue
-        if FIRST_DAY <= day <= LAST_DAY:
+        if FIRST_DAY <= at <= LAST_DAY:
             break
     else:
         return None
-    new = dt.date.fromordinal(FIRST_DAY + move(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date"))
-    values = dict(zip(order, (new.year, new.month, new.day), strict=True))
-    padded = all(len(p) != 1 for p in (a, b, c))
-    out = sep.join(f"{values[i]:02d}" if padded or len((a, b, c)[i]) == 4 else str(values[i]) for i in range(3))
-    # An unpadded or ambiguous layout may read back in the other order; the date is then another valid one.
-    return out
+    shapes = _shape(day, month), _shape(month, day)
+    days = _days(nth > 0, *shapes)
+    new = dt.date.fromordinal(days[move(bisect_left(days, at), len(days), b"date" if nth == 0 and shapes == ("2", "2") else b"date%d%s%s" % (nth, *(x.encode() for x in shapes)))])
+    fields = dict(zip(order, (str(new.year), *(f"{v:02d}" if x in "02" else str(v) for v, x in ((new.month, shapes[1]), (new.day, shapes[0])))), strict=True))
+    return sep.join(fields[i] for i in range(3))
 
 
 RULES: dict[str, Callable[[str, Move], str | None]] = {"email": _email, "iban": _iban, "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date}
 
 #: One alternation, in the order of KINDS; a value is tried as the first kind whose shape it has.
 SHAPES = re.compile(
-    r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<card>(?<![0-9A-Za-z+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
@@ -197,6 +229,7 @@ SHAPES = re.compile(
     r"|(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]{2}:?[0-9]{2})|[./-][0-9]))"
 )
 MAYBE = re.compile(r"[0-9@]")
+FIRST_GROUP = re.compile(r"[A-Z]{2}[0-9]{2}|[0-9]+")
 
 
 #: Lengths of IBANs by country.
@@ -207,7 +240,7 @@ IBAN_LENGTHS = {c: int(n) for n, cs in (pair.split(":") for pair in (
 
 def shorter(run: str, kind: str) -> list[int]:
     """Ends of shorter values at the start of a run, longest first: where groups end; for an IBAN of a known country, where its length ends one."""
-    ends = [i for i in range(len(run) - 1, 0, -1) if run[i] in " -" and run[i - 1] not in " -"]
+    ends = [i for i in range(len(run) - 1, 12, -1) if run[i] in " -" and run[i - 1] not in " -"]
     if kind == "card":
         return ends
     length = IBAN_LENGTHS.get(run[:2])
@@ -215,7 +248,7 @@ def shorter(run: str, kind: str) -> list[int]:
 
 
 class Pseudonymiser:
-    def __init__(self, key: bytes = DEFAULT_KEY) -> None:
+    def __init__(self, key: bytes) -> None:
         self.feistel = Feistel(key)
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
@@ -236,7 +269,7 @@ class Pseudonymiser:
                         end += m.start()
                         break
             if new is None and kind in ("card", "iban"):  # the same characters may hold a shorter value of another kind
-                inner = re.match(r"[A-Z]{2}[0-9]{2}|[0-9]+", m[0])
+                inner = FIRST_GROUP.match(m[0])
                 at = m.start() + max(1, inner.end() if inner else 1)
                 continue
             if new is not None:
@@ -258,12 +291,19 @@ def pseudonymiser(key: bytes) -> Pseudonymiser:
     return Pseudonymiser(key)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def key_of(spark: SparkSession, key: bytes | None = None) -> bytes:
+    """The given key, else the session's, else a new one."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return key or (named.encode() if named else os.urandom(32))
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text") -> DataFrame:
     """``docs`` with every validated value in ``text`` replaced; all columns stay, null stays null.
 
-    Works on whole texts in place, without a shuffle. Empty texts and tables come back as they are,
-    repeated rows get the same text.
+    Works on whole texts in place, without a shuffle, in time linear in a text whatever it holds. Empty
+    texts and tables come back as they are, repeated rows get the same text, null ids are rows like others.
     """
+    key = key_of(docs.sparkSession, key)
 
     def make(texts: list[str]) -> list[list]:
         apply = pseudonymiser(key).apply
@@ -272,8 +312,13 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text")
     return append_columns(docs, text, make, [(text, pa.string(), "string")], replace=True)
 
 
-def pseudonym_report(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """doc_id, text (replaced), n_<kind> for each kind and n_values, of (doc_id, text)."""
+def pseudonym_report(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """doc_id, text (replaced), n_<kind> for each kind and n_values, of (doc_id, text).
+
+    Null texts stay null with counts of 0; null ids and repeated rows are reported like others; other
+    columns are ignored, whatever their names; an empty table gives an empty result.
+    """
+    key = key_of(docs.sparkSession, key)
 
     def make(texts: list[str]) -> list[list]:
         done = [pseudonymiser(key).apply(t) for t in texts]
