@@ -5,8 +5,9 @@ more often than in others (a G test strict enough for the number of candidates).
 automaton for "within one edit of a trie path" is built lazily: a state is the set of (trie node,
 edits) reachable so far, so a word costs one table look-up a letter and dies after a few.
 
-A hit's weight is the log-odds of its term and of how it matched, from the same sample; within
-quotation marks or after a word of reporting it counts for less. The sum is made a probability by a
+A hit's weight is the log-odds of its term, of how it matched and of how many different words matched
+it (one, two, or more: a stem that innocent texts hold once may be telling where it recurs), from the same
+sample; within quotation marks or after a word of reporting it counts for less. The sum is made a probability by a
 two-parameter logistic fit.
 """
 
@@ -35,6 +36,12 @@ LEAST_SHARE, LEAST_NEW, COMMON = 0.01, 0.002, 0.08
 #: Weight of near matches that the sample doesn't hold, for whole words and for stems.
 UNSEEN_NEAR = (4.0, 1.0)
 STEM_LENGTHS = range(3, 9)
+#: Different words of a term that are told apart: 1, 2, or this many and more.
+LEVELS = 3
+#: Ends of the keys that count documents with two and with three words of a stem.
+MANY = ("", "\x02", "\x03")
+#: Log-odds from which a level of a chosen term has weight.
+LEAST_LEVEL = 1.0
 FUZZY_FROM = 5
 THRESHOLD = 0.3
 WINDOW, QUOTED, REPORTED = 5, 0.35, 0.6
@@ -145,7 +152,7 @@ class FuzzyLexicon:
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
-    weights: list[float] = field(default_factory=list)  # of 2 * term + edits
+    weights: list[float] = field(default_factory=list)  # of LEVELS * (2 * term + edits) + level
     bias: float = -40.0
     slope: float = 1.0
 
@@ -162,13 +169,17 @@ class Matcher:
         return min(hits, key=lambda h: (not h & 1, h)) if hits else 0
 
     def hits(self, text: str) -> dict[int, float]:
-        """{2 * term + edits: greatest context factor} over the whole text."""
+        """{LEVELS * (2 * term + edits) + level: greatest context factor} over the whole text."""
         chunks = text.split()
-        out: dict[int, float] = {}
+        words: dict[int, set[tuple[str, ...]]] = {}
+        factors: dict[int, float] = {}
         for i, hit in enumerate(map(self.memo.__getitem__, chunks)):
             if hit:
-                out[hit - 1] = max(out.get(hit - 1, 0.0), context(chunks, i))
-        return out
+                met = words.setdefault(hit - 1, set())
+                if len(met) < LEVELS:
+                    met.add(tuple(terms_of(chunks[i])))
+                factors[hit - 1] = max(factors.get(hit - 1, 0.0), context(chunks, i))
+        return {LEVELS * hit + len(words[hit]) - 1: factor for hit, factor in factors.items()}
 
 
 def context(chunks: list[str], i: int) -> float:
@@ -198,8 +209,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     return texts.withColumn("address", F.sha2("text", 256)).dropDuplicates(["address", "toxic"]).select("text", "toxic")
 
 
+def countable(text: str) -> set[str]:
+    """The keys that a document counts for: every word, every stem, stems of several words, and itself (the empty key)."""
+    seen, stems = {""}, Counter()
+    for word in {w for c in set(text.split()) for w in terms_of(c)}:
+        seen.add(word + "$")
+        stems.update(word[:n] for n in STEM_LENGTHS if n <= len(word))
+    for stem, n in stems.items():
+        seen.update(stem + MANY[level] for level in range(min(n, LEVELS)))
+    return seen
+
+
 def _stem_counts(sample: DataFrame) -> DataFrame:
-    """term, n_toxic, n_clean: in how many sampled documents a word or stem occurs."""
+    """term, n_toxic, n_clean: in how many sampled documents a word or stem occurs, or two or three words of a stem."""
     schema = pa.schema([("term", pa.string()), ("n_toxic", pa.int64()), ("n_clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +236,7 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = {""}
-                for word in {w for c in set((text or "").split()) for w in terms_of(c)}:
-                    seen.add(word + "$")
-                    seen.update(word[:n] for n in STEM_LENGTHS if n <= len(word))
-                counts[toxic].update(seen)
+                counts[toxic].update(countable(text or ""))
             if len(counts[0]) + len(counts[1]) > 300_000:
                 yield flush()
         yield flush()
@@ -227,7 +245,7 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
 
 
 def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
-    """Greedy: best evidence first, the longer of equals; a stem covers what begins with it."""
+    """Greedy: best evidence first, the longer of equals; a stem covers what begins with it. Terms are without the ends of MANY."""
 
     def odds(t: int, c: int) -> float:
         return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
@@ -237,6 +255,7 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> li
     for term, t, _ in ranked:
         if len(chosen) == MAX_TERMS:
             break
+        term = term.rstrip("".join(MANY))
         bare = term.rstrip("$")
         covered = any(bare[:n] in chosen for n in range(1, len(bare) + 1))
         narrower = sum(n for other, n in chosen.items() if other.startswith(bare)) >= 0.9 * t and not term.endswith("$")
@@ -316,20 +335,34 @@ def fit(terms: list[str], seen: list[tuple[int, list[int], list[float]]], toxic:
         t = int(label[at].sum())
         return math.log((t + 0.5) / (toxic + 1)) - math.log((len(at) - t + 0.5) / (clean + 1))
 
-    weights = [0.0] * (2 * len(terms))
+    def levels(hit: int) -> list[np.ndarray]:
+        return [np.array(places.get(LEVELS * hit + level, []), int) for level in range(LEVELS)]
+
+    def weighed(found: list[np.ndarray]) -> list[float]:
+        """A level counts no less than the one below; one that the sample doesn't hold counts like it."""
+        out: list[float] = []
+        for at in found:
+            value = min(8.0, odds(at)) if len(at) else 0.0
+            out.append(max([value if value >= LEAST_LEVEL else 0.0, *out[-1:]]))
+        return out
+
+    weights = [0.0] * (2 * LEVELS * len(terms))
     for i in range(len(terms)):
-        at = np.array(places.get(2 * i, []), int)
+        found = levels(2 * i)
+        at = np.concatenate([x for x in found if len(x) and odds(x) >= LEAST_LEVEL] or [np.empty(0, int)])
         new = at[~covered[at]]
         adds = label[new].sum() >= max(2, LEAST_NEW * toxic) and odds(new) >= LEAST_LOG_ODDS
         if adds or label[at].sum() >= COMMON * toxic and odds(at) >= LEAST_LOG_ODDS:
-            weights[2 * i] = min(8.0, odds(at))
             covered[at] = True
-            near = np.array(places.get(2 * i + 1, []), int)
-            weights[2 * i + 1] = UNSEEN_NEAR[not terms[i].endswith("$")] if not len(near) else min(8.0, odds(near)) if odds(near) >= LEAST_LOG_ODDS else 0.0
+            near = levels(2 * i + 1)
+            every = np.concatenate(near)
+            unseen = [UNSEEN_NEAR[not terms[i].endswith("$")]] * LEVELS
+            weights[2 * LEVELS * i : 2 * LEVELS * (i + 1)] = weighed(found) + (unseen if not len(every) else weighed(near) if odds(every) >= LEAST_LOG_ODDS else [0.0] * LEVELS)
     evidence = np.array([sum(weights[h] * f for h, f in zip(hits, factors, strict=True)) for _, hits, factors in seen])
     bias, slope = _logistic(evidence, label.astype(float))
-    kept = [i for i in range(len(terms)) if weights[2 * i]]
-    return Model([terms[i] for i in kept], [weights[2 * i + e] for i in kept for e in (0, 1)], bias, slope)
+    of = [weights[2 * LEVELS * i : 2 * LEVELS * (i + 1)] for i in range(len(terms))]
+    kept = [i for i in range(len(terms)) if any(of[i][:LEVELS])]
+    return Model([terms[i] for i in kept], [w for i in kept for w in of[i]], bias, slope)
 
 
 def scores(model: Model, texts: list[str]) -> list[float]:

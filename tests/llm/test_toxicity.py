@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -72,6 +73,70 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def plain_scores(model, texts):
+    """Scores from their definition: every word against every term, the words of a term counted, contexts by hand."""
+    known = {}
+
+    def hit(word):
+        """(term, edits) of the first that holds: the word itself, its shortest exact stem, a near match."""
+        if word not in known:
+            best = []
+            for i, t in enumerate(model.terms):
+                bare = t.rstrip("$")
+                if t.endswith("$") and word == bare:
+                    best.append((0, 0, i, 0))
+                elif not t.endswith("$") and word.startswith(bare):
+                    best.append((1, len(bare), i, 0))
+            if not best:
+                near = tx.FuzzyLexicon(model.terms).match(word)
+                assert bool(near) == bool(brute(model.terms, word))
+                best = [(2, 0, (near - 1) // 2, 1)] if near else []
+            known[word] = min(best)[2:] if best else None
+        return known[word]
+
+    out = []
+    for text in texts:
+        chunks, words, factors = text.split(), {}, {}
+        for at, chunk in enumerate(chunks):
+            found = [h for w in tx.terms_of(chunk) if (h := hit(w))]
+            if found:
+                first = min(found, key=lambda h: (h[1], h[0]))
+                words.setdefault(first, set()).add(tuple(tx.terms_of(chunk)))
+                factors[first] = max(factors.get(first, 0), tx.context(chunks, at))
+        x = model.bias + model.slope * sum(f * model.weights[tx.LEVELS * (2 * t + e) + min(tx.LEVELS, len(words[t, e])) - 1] for (t, e), f in factors.items())
+        out.append(1 / (1 + math.exp(-x)))
+    return out
+
+
+def test_scores_equal_their_definition(spark):
+    """The whole query, on documents with their own labels and model."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = {r.doc_id: r for r in tx.judge(docs, labels).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r, score in zip(rows, plain_scores(tx.train(docs, labels), [r.text or "" for r in rows]), strict=True):
+        assert abs(got[r.doc_id].score - score) < 1e-9
+        assert got[r.doc_id].predicted == (score >= 0.3) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_a_stem_that_recurs_tells_more(spark):
+    """A stem that innocent texts hold once, and toxic ones in several words, weighs by their number."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(900):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice(['ling', 'ren', 'tos'])}" for _ in range(30)]
+        toxic = i % 9 == 0
+        for _ in range(4 if toxic else i % 11 == 0):
+            words[rng.randrange(30)] = "vrekk" + rng.choice(["a", "on", "ist", "um", "ef", "or"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = tx.judge(docs, known).filter("held_out").collect()
+    assert sum(r.predicted for r in got if r.doc_id % 9 == 0) >= 0.9 * sum(r.doc_id % 9 == 0 for r in got)
+    assert sum(r.predicted for r in got if r.doc_id % 9) <= 0.02 * len(got)
+
+
 def test_held_out_accuracy(spark, corpus):
     docs, labels = corpus
     got = {r.doc_id: r for r in tx.judge(docs, labels).collect()}
@@ -112,4 +177,4 @@ def test_accuracy_on_test_documents(spark):
     right = sum(r.predicted == r.toxic for r in got)
     caught = sum(r.predicted for r in got if r.toxic) / sum(r.toxic for r in got)
     kept = sum(not r.predicted for r in got if not r.toxic) / sum(not r.toxic for r in got)
-    assert right / len(got) > 0.97 and caught > 0.8 and kept > 0.99
+    assert right / len(got) > 0.97 and caught >= 0.9 and kept > 0.99
