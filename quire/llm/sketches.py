@@ -61,41 +61,50 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def _ranges(ids: DataFrame) -> Column:
-    """The range of a key: cells between approximate quantiles, each cut evenly where rows are very many."""
+    """The range of a row (key, tie): cells between approximate quantiles of the keys, each cut evenly where rows are very many.
+
+    A key that several quantiles share holds as many cells, and its rows are dealt to them by their tie, the
+    hash of their text: a document that repeats a million times isn't one range.
+    """
     n = ids.count()
     cells = max(1, min(CELLS, -(-n // RANGE_ROWS)))
     cuts = max(1, -(-n // (cells * RANGE_ROWS)))
     if cells == 1:
         return F.lit(0).cast("long")
-    bounds = ids.agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], 10 * cells).alias("b")).first()["b"]
-    bounds = sorted(set(bounds))
-    cell = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("key"))).cast("long")
+    least, *bounds, most = sorted(ids.agg(F.percentile_approx("key", [i / cells for i in range(cells + 1)], 10 * cells).alias("b")).first()["b"])
+    below = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("key"))).cast("long")
+    shared = F.size(F.filter(F.lit(bounds), lambda b: b == F.col("key")))
+    place = (F.shiftright("tie", 32).cast("double") + 2.0**31) / 2.0**32 * shared  # 0 to the number of cells that the key holds
+    cell = F.when(shared > 0, below + 1 + F.least(F.floor(place), shared - 1)).otherwise(below)
     if cuts == 1:
         return cell
-    low, high = F.lit([bounds[0], *bounds]), F.lit([*bounds, bounds[-1]])
-    at = (cell + 1).cast("int")
+    distinct = sorted(set(bounds))
+    low, high = F.lit([least, *distinct]), F.lit([*distinct, most])
+    at = (F.size(F.filter(F.lit(distinct), lambda b: b <= F.col("key"))) + 1).cast("int")
     width = F.element_at(high, at).cast("double") - F.element_at(low, at).cast("double")
-    part = F.floor((F.col("key").cast("double") - F.element_at(low, at).cast("double")) / F.greatest(width, F.lit(1.0)) * cuts)
-    return cell * (1 << 32) + F.greatest(F.lit(0), F.least(part, F.lit(cuts - 1)))
+    by_key = F.floor((F.col("key").cast("double") - F.element_at(low, at).cast("double")) / F.greatest(width, F.lit(1.0)) * cuts)
+    # Behind a key that holds several cells, later keys go on in the last of them: they come after all of its parts.
+    part = F.when(shared > 1, F.floor((place - F.floor(place)) * cuts)).when(shared == 1, F.lit(0)).otherwise(F.greatest(by_key, F.lit(0)) + cuts)
+    return cell * (1 << 32) + F.least(part, F.lit(2 * cuts - 1)).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(key, text) with next_text, the text that follows in descending key (after the last: the first).
+    """(key, tie, text) with next_text, the text that follows in descending key and tie (after the last: the first).
 
-    Each range of keys is one window, and the first row of the following range is sent to it as a
+    Each range of rows is one window, and the first row of the following range is sent to it as a
     guest, so texts are shuffled once. Adds __range, __guest; guests stay as rows for later windows.
     """
-    placed = docs.withColumn("__range", _ranges(docs.select("key")))
-    heads = placed.groupBy("__range").agg(F.max("key").alias("key"))
-    order = Window.orderBy(F.desc("key"))  # one row a range: a few thousandths of the documents, 16 bytes each
+    placed = docs.withColumn("__range", _ranges(docs.select("key", "tie")))
+    heads = placed.groupBy("__range").agg(F.max(F.struct("key", "tie")).alias("h"))
+    order = Window.orderBy(F.desc("h"))  # one row a range: a few thousandths of the documents, 24 bytes each
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = stash(heads.select("__range", F.coalesce(F.lead("key").over(order), F.max("key").over(everything)).alias("key")), "heads")
-    guests = keep_ids(docs, heads.select("key").distinct(), ["key"]).join(heads.withColumnRenamed("key", "__head"), F.col("key") == F.col("__head")).drop("__head").withColumn("__guest", F.lit(1))
-    return placed.withColumn("__guest", F.lit(0)).unionByName(guests)
+    heads = stash(heads.select("__range", F.coalesce(F.lead("h").over(order), F.max("h").over(everything)).alias("h")).select("__range", F.col("h.key").alias("key"), F.col("h.tie").alias("tie")), "heads")
+    guests = keep_ids(docs, heads.select("key", "tie").distinct(), ["key", "tie"]).dropDuplicates(["key", "tie"]).join(heads, ["key", "tie"]).withColumn("__guest", F.lit(1))
+    return placed.withColumn("__guest", F.lit(0)).unionByName(guests.select(*placed.columns, "__guest"))
 
 
 def following() -> Window:
-    return Window.partitionBy("__range").orderBy("__guest", F.desc("key"), "text")
+    return Window.partitionBy("__range").orderBy("__guest", F.desc("key"), F.desc("tie"), "text")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -103,10 +112,10 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
     The edited text has its last half replaced by the first half of the next document's. A null text is
     empty; a null doc_id comes last in descending order; rows that repeat a doc_id follow each other by
-    text; the only document of a table is its own next one; an empty table gives an empty result.
+    a hash of their text; very long texts are read whole; other columns are ignored, whatever their names; the only document of a table is its own next one; an empty table gives an empty result.
     """
     base = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.coalesce(F.col("text").cast("string"), F.lit("")))
-    base = base.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    base = base.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("tie", F.xxhash64("text"))
     rows = with_fingerprint(with_next(base).withColumn("__next", F.lead("text").over(following())), "text", "fp")
     rows = rows.withColumn("__next_fp", F.lead("fp").over(following())).filter("__guest = 0")
     n = F.length("text")

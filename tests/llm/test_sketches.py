@@ -2,14 +2,17 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import sketches as sk
 
 
 def by_hand(rows):
-    """{position: (n_chars, edited text, next position)} in descending doc_id, null last, then text."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, -(rows[i][0] or 0), (rows[i][1] or "").encode()))
+    """{position: (n_chars, edited text, next position)} in descending doc_id, null last, then descending hash of the text."""
+    tie = lambda text: (h := xxhash.xxh64_intdigest((text or "").encode(), 42)) - (h >> 63 << 64)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, -(rows[i][0] or 0), -tie(rows[i][1])))
     out = {}
     for at, i in enumerate(order):
         j = order[(at + 1) % len(order)]
@@ -63,6 +66,18 @@ def test_many_ranges_and_cuts(spark, monkeypatch):
     check(rows, sk.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+@pytest.mark.parametrize(("cells", "rows_a_range"), [(8, 20), (4, 7)])
+def test_a_hot_document_is_several_ranges(spark, monkeypatch, cells, rows_a_range):
+    monkeypatch.setattr(sk, "RANGE_ROWS", rows_a_range)
+    monkeypatch.setattr(sk, "CELLS", cells)
+    rows = [(50, f"text {i} of the hot one {i % 5}") for i in range(90)] + [(50, "the same words")] * 20 + [(i, f"text {i} of many words") for i in range(40, 90) if i != 50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, sk.fingerprint_report(docs).collect())
+    base = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie"), "text")
+    sizes = [r["count"] for r in base.withColumn("r", sk._ranges(base.select("key", "tie"))).filter("key = 50").groupBy("r").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 60
+
+
 def test_merge_and_containment(spark):
     small, large = "a b c d e f g h i j k l m n o p", "z y x w v u t s r q " * 3 + "a b c d e f g h i j k l m n o p"
     df = sk.with_fingerprint(sk.with_fingerprint(spark.createDataFrame([(small, large)], "s string, l string"), "s", "fs"), "l", "fl")
