@@ -1,14 +1,11 @@
 """Bounded-space online best-fit packing of token sequences.
 
 Every document becomes its token ids and an end id; longer ones are cut into full sequences and a
-rest. Pieces are dealt by a hash of their document into groups of a fixed expected size, and each
-group is packed on its own by one pass of best-fit: a bit of one integer stands for each amount of
-free space, so the tightest bin that fits is the lowest set bit at or above the piece's length. A
-fixed number of bins is open; when one too many is, the fullest (lowest set bit) closes.
-
-Pieces arrive longest first within a group. A group is small enough that its bins normally all stay
-open, where this order comes within a thousandth of the least number of sequences; the bound on
-open bins is what keeps memory fixed when a group turns out larger.
+rest. Pieces are dealt by a hash of their row into groups of a fixed expected size, and each group is
+packed on its own, in the order in which its pieces arrive, each placed at once and for good: a bit of
+one integer stands for each amount of free space, so the tightest bin that fits is the lowest set bit
+at or above the piece's length. ``OPEN_BINS`` bins are open, far fewer than a group fills; when one too
+many is, the fullest (lowest set bit) closes.
 """
 
 from __future__ import annotations
@@ -26,9 +23,9 @@ from quire.llm.common import rows_of, slices, stash
 from quire.llm.tokens import default_tokenizer_path, encoder
 
 SEQUENCE = 2048
-OPEN_BINS = 8192
-#: Pieces expected in a group, and groups dealt to a task.
-GROUP, GROUPS_A_TASK = 8000, 16
+OPEN_BINS = 256
+#: Pieces expected in a group.
+GROUP = 50_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PLACED = pa.schema([*list(PIECES)[:5], ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -95,12 +92,11 @@ class BestFit:
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, group: int = GROUP) -> DataFrame:
     """Places pieces (doc_id, piece, start, length, ids_crc32): adds sequence_id and offset.
 
-    ``pieces`` is read twice (a count, then the packing), so pass a written table. Equal rows are
-    packed as often as they occur.
+    ``pieces`` is read twice (a count, then the packing), so pass a written table: its row order is the
+    order of arrival, which a task that runs again meets again. Equal rows are packed as often as they
+    occur, and dealt to all groups alike.
     """
-    total = pieces.count()
-    groups = max(1, -(-total // group))
-    tasks = max(1, -(-groups // GROUPS_A_TASK))
+    groups = max(1, -(-pieces.count() // group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, fit = None, None
@@ -114,8 +110,8 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS
             columns = [batch.column(f.name) for f in list(PLACED)[:5]] + [pa.array([p[k] for p in places], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, schema=PLACED)
 
-    keyed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    dealt = keyed.repartition(tasks, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    arrived = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("_row", F.monotonically_increasing_id())
+    dealt = arrived.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).repartition(groups, "_group").sortWithinPartitions("_group", "_row")
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
@@ -123,6 +119,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence: int
     """Tokenise and pack whole documents (doc_id, text).
 
     Null and empty texts are the end id alone; a null doc_id is packed like any other; repeated rows
-    are packed as often as they occur; an empty table gives an empty result.
+    are packed as often as they occur; very long texts are cut; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     return pack(stash(token_pieces(docs, tokenizer, sequence, end_id, with_ids=False).drop("ids"), "pieces"), sequence)

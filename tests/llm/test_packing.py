@@ -58,7 +58,30 @@ def test_packing_of_documents(spark, sf_small, tokenizer):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     rows = packing.pack_documents(docs).collect()
     n = check_packed(rows, [(r.doc_id, r.text) for r in docs.collect()], tokenizer)
-    assert n <= math.ceil(1.01 * sum(r.length for r in rows) / 2048) + 1
+    assert n <= math.ceil(1.015 * sum(r.length for r in rows) / 2048) + 1
+
+
+def test_the_bound_on_open_bins_acts_and_costs_little():
+    rng = random.Random(1)
+    lengths = [min(2048, int(rng.lognormvariate(6.4, 0.9)) + 1) for _ in range(packing.GROUP)]
+    low = math.ceil(sum(lengths) / 2048)
+    few, many = packing.BestFit(2048, 16), packing.BestFit(2048, packing.OPEN_BINS)
+    for fit in (few, many):
+        for n in lengths:
+            fit.place(n)
+            assert fit.open <= fit.limit
+    assert packing.OPEN_BINS < low / 20 and many.made <= few.made <= 1.05 * low and many.made <= 1.02 * low
+
+
+def test_a_hot_document_is_dealt_to_all_groups(spark, tokenizer):
+    docs = [(1, "one and the same text")] * 300 + [(i, f"text {i}") for i in range(2, 300)]
+    pieces = packing.token_pieces(spark.createDataFrame(docs, "doc_id long, text string"), with_ids=False).drop("ids")
+    path = "pieces"
+    rows = packing.pack(packing.stash(pieces, path), group=100).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.sequence_id >> 40, []).append(r)
+    assert len(rows) == len(docs) and len(groups) == 6 and max(map(len, groups.values())) < 200
 
 
 def test_odd_rows(spark, odd_documents, no_documents, tokenizer):
