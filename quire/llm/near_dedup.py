@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, drop_ids, keep_ids, rows_of, slices, stash, tool, utf8
+from quire.llm.common import Memo, drop_ids, keep_ids, release, rows_of, slices, stash, tool, utf8
 from quire.llm.components import components
 
 BANDS, ROWS, SKETCH_WORDS = 45, 6, 8
@@ -266,8 +266,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     other = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.top")) | (F.col("a.node") < F.col("b.node")))
     same = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & other
     rest = a.join(b, same & _sizes("a", "b", percent) & _close("a", "b") & _close_long("a", "b") & _first_common_band("a", "b"))
-    last = confirmed(stash(rest.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")), "pairs"), texts, k, percent)
-    moved = _moved(roots, last)
+    pairs = stash(rest.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")), "pairs")
+    release(full)
+    moved = _moved(roots, confirmed(pairs, texts, k, percent))
+    release(shared, members, texts, placed, nodes, pairs)
 
     found = _after(classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root")), moved)
     least = F.coalesce("root", "doc_id")
