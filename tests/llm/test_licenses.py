@@ -78,3 +78,48 @@ def test_notices_of_siblings():
     assert scan("Licensed under CC BY-XY 4.0.") == [] and scan("Released under the old MIT License.") == []
     for name in ("GPL-3.0", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause"):
         assert [f[0] for f in scan(lc.TEMPLATES[name][0])] == [name]
+
+
+def plain_scan(text):
+    """Finds from their definition: short notices word by word, long templates by the common subsequence with each stretch of the text."""
+    words = lc.WORD.findall(text.lower())
+    found = []
+    for name, n, template in lc.scanner().templates:
+        size = len(template)
+        if size <= lc.SHORT:
+            found += [(size, 1.0, name, n, at, at + size - 1) for at in range(len(words) - size + 1) if words[at : at + size] == template]
+        elif len(set(template) & set(words)) >= 0.6 * len(set(template)):
+            reach = size + lc.BAND
+            best = max((lcs(template, words[at : at + reach]), -at) for at in range(max(1, len(words) - reach + 1)))
+            if best[0] >= lc.LEAST_COVERAGE * size:
+                found.append((best[0], best[0] / size, name, n, None, None))
+    return found
+
+
+def test_the_query_equals_a_plain_scan(spark):
+    """All documents of a table with notices and whole templates put in: short finds with spans, long ones with coverage."""
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for i, (name, texts) in enumerate(lc.TEMPLATES.items()):
+        words = texts[0].split()
+        for _ in range(len(words) // 30):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((100_000 + i, f"Some words before. {' '.join(words)} And after {name.lower()[:2]}zz."))
+    got = {}
+    for r in lc.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    seen = 0
+    for doc, text in rows:
+        want, mine = plain_scan(text or ""), got.get(doc, [])
+        long = {(f[2], f[3]): f for f in want if f[4] is None}
+        short = [f for f in want if f[4] is not None]
+        places = [m.span() for m in lc.WORD.finditer(text or "")]
+        for r in mine:
+            seen += 1
+            if (r.license, r.template) in long:
+                assert r.matched_words >= long[r.license, r.template][0] - 2 and r.coverage == r.matched_words / len(next(t for n, k, t in lc.scanner().templates if (n, k) == (r.license, r.template)))
+            else:
+                assert (r.license, r.template, r.span_start, r.span_end) in {(f[2], f[3], places[f[4]][0], places[f[5]][1]) for f in short}
+        best = sorted(want, key=lambda f: (-f[0], -f[1]))[:1]
+        assert bool(mine) == bool(want) and (not best or any(r.matched_words >= best[0][0] - 2 for r in mine))
+    assert seen > len(lc.TEMPLATES)
