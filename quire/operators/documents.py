@@ -8,6 +8,7 @@ document's edits meet in its own row only.
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -101,11 +102,36 @@ def document_images(docs: DataFrame) -> DataFrame:
     return _map(_locked(docs), ["path", "content", "password"], IMAGES, rule)
 
 
+#: Seconds that a renderer may take for a page, and the resolutions that it is asked for.
+RENDER_SECONDS, RENDER_DPI = 30, (72, 1200)
+
+
+def _rendered(render: Renderer, content: bytes, number: int, dpi: int) -> np.ndarray | None:
+    """What the renderer gives within its time; one that hangs is left behind in a thread of its own."""
+    out: list = []
+
+    def work() -> None:
+        try:
+            out.append((render(content, number, max(RENDER_DPI[0], min(RENDER_DPI[1], dpi))), None))
+        except Exception as e:  # told to the waiting task
+            out.append((None, e))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(RENDER_SECONDS)
+    if not out:
+        raise TimeoutError(f"no page within {RENDER_SECONDS} seconds")
+    made, failed = out[0]
+    if failed is not None:
+        raise failed
+    return made if made is not None and made.size else None
+
+
 def _raster(doc: pdf.Document, content: bytes, number: int, resources: dict | None, render: Renderer | None, dpi: int) -> tuple[np.ndarray | None, str | None, str | None]:
     made, source, error = None, "rendered", None
     if render is not None:
         try:
-            made = render(content, number, dpi)
+            made = _rendered(render, content, number, dpi)
         except Exception as e:  # a renderer's failure must not cost the page
             error = f"render: {e}"
     if made is None:

@@ -14,7 +14,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 
-from quire.operators import crypt, fax, jpeg, raster
+from quire.operators import crypt, fax, jbig2, jpeg, raster
 
 MAX_FILE, MAX_INFLATED = 512 * 1024 * 1024, 256 * 1024 * 1024
 MAX_DEPTH = 64
@@ -505,6 +505,11 @@ def pixels(doc: Document, stream: Stream) -> np.ndarray:
         return fax.decode(stream.data, width, height, _integer(p.get("K"), -1), _integer(p.get("Columns")) or None, p.get("BlackIs1") is True, p.get("EncodedByteAlign") is True)
     if first == "DCTDecode":
         return jpeg.decode(stream.data)
+    if first == "JBIG2Decode":
+        p = entries.get("DecodeParms")
+        p = doc.get(p[0]) if isinstance(p, list) and p else p
+        shared = doc.get(p.get("JBIG2Globals")) if isinstance(p, dict) else None
+        return jbig2.decode(stream.data, width, height, doc.decoded(shared) if isinstance(shared, Stream) else b"")
     if first not in (None, "FlateDecode"):
         raise PdfError(f"unsupported image filter: {first}")
     page = raster.unpacked(stream.data, width, height, bits) if first is None else raster.inflate(stream.data, width, height, bits)
