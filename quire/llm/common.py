@@ -19,7 +19,7 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources import files
@@ -154,17 +154,28 @@ def _bits(ids: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def marked(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with __hit: false where a fixed-size filter rules out that its keys are in ``ids``."""
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def marked(df: DataFrame, ids: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """``df`` with a further column, last, and that column: false where a fixed-size filter rules out that its keys are in ``ids``."""
+    word, bits = free_name(df, "__word"), free_name(df, "__bits")
+    hit = free_name(df, "__hit")
     slot = _slot(keys)
-    hit = F.coalesce(F.getbit("__bits", F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False))
-    filtered = df.withColumn("__word", F.shiftright(slot, 6).cast("int")).join(F.broadcast(_bits(ids, keys)), "__word", "left")
-    return filtered.withColumn("__hit", hit).drop("__word", "__bits")
+    found = F.coalesce(F.getbit(bits, F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False))
+    filtered = df.withColumn(word, F.shiftright(slot, 6).cast("int")).join(F.broadcast(_bits(ids, keys).toDF(word, bits)), word, "left")
+    return filtered.withColumn(hit, found).select(*(F.col(f"`{c}`") for c in df.columns), hit), F.col(hit)
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose keys are in ``ids``: a fixed-size filter spares the shuffle of most others."""
-    return marked(df, ids, keys).filter("__hit").drop("__hit").join(ids.select(*keys), keys, "left_semi").select(*df.columns)
+    both, hit = marked(df, ids, keys)
+    return both.filter(hit).drop(hit).join(ids.select(*keys), keys, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,9 +184,9 @@ def drop_ids(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     Only what a fixed-size filter can't rule out is shuffled for the exact anti-join; a fuller
     filter sends more rows that way, never other results.
     """
-    both = marked(df, ids, keys)
-    sure = both.filter("NOT __hit").select(*df.columns)
-    rest = both.filter("__hit").drop("__hit").join(ids.select(*keys), keys, "left_anti").select(*df.columns)
+    both, hit = marked(df, ids, keys)
+    sure = both.filter(~hit).drop(hit)
+    rest = both.filter(hit).drop(hit).join(ids.select(*keys), keys, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
     return sure.unionByName(rest)
 
 

@@ -279,7 +279,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the least doc_id.
 
-    All columns stay. Rows that repeat a doc_id are one document and stay or go together.
+    All columns stay, whatever their names. Rows that repeat a doc_id are one document and stay or go together;
+    null ids, null and empty texts stay; an empty table comes back empty.
     """
     groups = near_groups(docs, k, percent).filter("NOT kept").select("doc_id").distinct()
     return drop_ids(docs, stash(groups, "dropped"), ["doc_id"])

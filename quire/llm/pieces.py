@@ -140,7 +140,11 @@ def pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) of (doc_id, text): null and empty texts have no ids."""
+    """doc_id, ids (array<int>) of (doc_id, text): null and empty texts have no ids.
+
+    Null ids and repeated rows are encoded like others, very long texts whole; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
+    """
     path = model or default_model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,10 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids, decoded_sha256, lossless of every row: encoded and decoded again in one pass."""
+    """doc_id, n_ids, ids, decoded_sha256, lossless of every row: encoded and decoded again in one pass.
+
+    Odd rows are treated as by :func:`encode`.
+    """
     path = model or default_model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,9 +132,9 @@ def scan_history(versions: DataFrame, path: str, text: str, ledger: DataFrame |
     rows = fresh if known is None else fresh.unionByName(known.select(*fresh.columns))
     found = stash(rows.filter("spans <> ''").dropDuplicates(["blob"]), "found")
     # Most versions hold nothing: only those that a fixed-size filter can't rule out are shuffled to meet their blob's findings.
-    near = marked(address, found.select("blob"), ["blob"])
-    hits = near.filter("__hit").drop("__hit").join(found, "blob", "left")
-    none = near.filter("NOT __hit").drop("__hit")
+    near, hit = marked(address, found.select("blob"), ["blob"])
+    hits = near.filter(hit).join(found, "blob", "left")
+    none = near.filter(~hit)
     filled = [*(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE), F.coalesce("base_sha256", F.lit(NOTHING)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")]
     empty = [*(F.lit(0).cast("long").alias(f"n_{k}") for k in BASE), F.lit(NOTHING).alias("base_sha256"), F.lit("").alias("spans")]
     findings = hits.select("path", "blob", *filled).unionByName(none.select("path", "blob", *empty))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, append_columns, rows_of, slices, tool
+from quire.llm.common import Memo, append_columns, free_name, rows_of, slices, tool
 
 #: Bound of the labelled sample that the model is fitted on (rows with the least hash of doc_id).
 SAMPLE = 12_000
@@ -44,6 +44,8 @@ MANY = ("", "\x02", "\x03")
 LEAST_LEVEL = 1.0
 FUZZY_FROM = 5
 THRESHOLD = 0.3
+#: Score of a text without a hit at most, however many of the labelled documents are toxic: no evidence, no rejection.
+MOST_WITHOUT = 0.25
 WINDOW, QUOTED, REPORTED = 5, 0.35, 0.6
 #: Bytes of the memo table of a worker, and states of its automaton, after which either starts anew.
 MEMO_BYTES, STATES = 40 << 20, 8000
@@ -288,7 +290,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Fits a :class:`Model`. Without labelled toxic and clean documents it scores all texts alike."""
+    """Fits a :class:`Model`. Without documents of both labels nothing tells them apart: all texts score as clean."""
     sample = labelled_sample(docs, labels, bound).cache()
     try:
         counts = _stem_counts(sample).cache()
@@ -296,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
         toxic, clean = (totals["n_toxic"], totals["n_clean"]) if totals else (0, 0)
         if not toxic or not clean:
             counts.unpersist()
-            return Model(bias=40.0 if toxic else -40.0)
+            return Model()
         t, c, n = F.col("n_toxic"), F.col("n_clean"), toxic + clean
         expected = (t + c) * toxic / n
         g = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / (t + c - expected))).otherwise(0.0))
@@ -360,6 +362,7 @@ def fit(terms: list[str], seen: list[tuple[int, list[int], list[float]]], toxic:
             weights[2 * LEVELS * i : 2 * LEVELS * (i + 1)] = weighed(found) + (unseen if not len(every) else weighed(near) if odds(every) >= LEAST_LOG_ODDS else [0.0] * LEVELS)
     evidence = np.array([sum(weights[h] * f for h, f in zip(hits, factors, strict=True)) for _, hits, factors in seen])
     bias, slope = _logistic(evidence, label.astype(float))
+    bias = min(bias, math.log(MOST_WITHOUT / (1 - MOST_WITHOUT)))
     of = [weights[2 * LEVELS * i : 2 * LEVELS * (i + 1)] for i in range(len(terms))]
     kept = [i for i in range(len(terms)) if any(of[i][:LEVELS])]
     return Model([terms[i] for i in kept], [w for i in kept for w in of[i]], bias, slope)
@@ -380,12 +383,21 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row (doc_id, text); a null doc_id isn't held out."""
+    """doc_id, held_out, score, predicted of every row (doc_id, text); a null doc_id isn't held out.
+
+    Null and empty texts are scored like texts without a hit; repeated rows are scored alike; of a doc_id that is labelled
+    twice the toxic label counts; very long texts are read whole; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
+    """
     model = train(docs, labels)
     texts = rows_of(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
     return score(texts, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows scored at ``threshold`` or more; all columns stay."""
-    return score(docs, train(docs, labels), "__toxicity").filter(F.col("__toxicity") < threshold).drop("__toxicity")
+    """``docs`` without the rows scored at ``threshold`` or more; all columns stay, whatever their names.
+
+    Null and empty texts stay, as they score like texts without a hit; repeated rows stay or go together; very long texts are read whole; an empty table comes back empty.
+    """
+    name = free_name(docs, "__toxicity")
+    return score(docs, train(docs, labels), name).filter(F.col(name) < threshold).drop(name)

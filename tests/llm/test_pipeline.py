@@ -63,10 +63,11 @@ def check(spark, sf_dir, monkeypatch):
     return done
 
 
-def test_stages_on_documents(spark, sf_small, monkeypatch):
-    done = check(spark, sf_small, monkeypatch)
+def test_stages_on_documents(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.01"
+    done = check(spark, sf_dir, monkeypatch)
     counts = [o.count() for _, _, o in done]
-    assert 0 < counts[1] < counts[0] < spark.read.parquet(f"{sf_small}/documents.parquet").count()
+    assert 0 < counts[1] < counts[0] < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
 
 @pytest.mark.parametrize("labels", ["some", "none", "repeated"])
