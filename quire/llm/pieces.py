@@ -13,6 +13,7 @@ The encoding is lossless: decode(encode(text)) is the text, a literal space mark
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import Memo, rows_of, slices, tool
 
 MARK = "▁"
-#: Bytes of the memo table of a worker.
-MEMO_BYTES = 96 << 20
+#: Bytes of the memo table of a worker, and moves by failure links that its automaton remembers.
+MEMO_BYTES, MOST_MOVES = 150 << 20, 400_000
 
 
 def default_model_path() -> str:
@@ -51,10 +52,10 @@ class Pieces:
         self.whole_words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.piece.values())
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self._build()
-        self.memo = Memo(lambda w: np.asarray(self.viterbi(w)[0], np.int32).tobytes(), MEMO_BYTES)
+        self.memo = Memo(lambda w: array("i", self.viterbi(w)[0]).tobytes(), MEMO_BYTES)
 
     def _build(self) -> None:
-        """Goto and failure functions; out[s] is the piece that ends in s, link[s] the next state that has one."""
+        """Goto and failure functions; ends[s] are the pieces that end in s, longest first: its own and those that its output links lead to."""
         self.goto: list[dict[str, int]] = [{}]
         self.out: list[tuple[int, float, int] | None] = [None]
         for i, piece in self.piece.items():
@@ -66,7 +67,7 @@ class Pieces:
                     self.out.append(None)
                 state = self.goto[state][c]
             self.out[state] = (len(piece), self.score[i], i)
-        self.fail, self.link = [0] * len(self.goto), [0] * len(self.goto)
+        self.fail, self.link, self.added = [0] * len(self.goto), [0] * len(self.goto), 0
         queue = deque(self.goto[0].values())
         while queue:
             state = queue.popleft()
@@ -77,22 +78,36 @@ class Pieces:
                 self.fail[to] = self.goto[back].get(c, 0)
                 self.link[to] = self.fail[to] if self.out[self.fail[to]] else self.link[self.fail[to]]
                 queue.append(to)
+        self.ends = []
+        for own, at in zip(self.out, self.link, strict=True):
+            found = [own] if own else []
+            while at:
+                found.append(self.out[at])
+                at = self.link[at]
+            self.ends.append(tuple(found))
+
+    def _step(self, state: int, c: str) -> int:
+        """The state after a letter that ``state`` doesn't lead on by: by failure links, remembered as a move of its own."""
+        back = state
+        while back and c not in self.goto[back]:
+            back = self.fail[back]
+        to = self.goto[back].get(c, 0)
+        if self.added < MOST_MOVES:
+            self.goto[state][c] = to
+            self.added += 1
+        return to
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
         """The ids and the score of the best segmentation of a marked text; ties go to the longer piece."""
-        goto, fail, out, link = self.goto, self.fail, self.out, self.link
+        goto, ends, unknown = self.goto, self.ends, self.unknown
         best, chosen, state = [0.0], [None], 0
         for end, c in enumerate(text, 1):
-            while state and c not in goto[state]:
-                state = fail[state]
-            state = goto[state].get(c, 0)
-            top, how = best[end - 1] + self.unknown, None
-            at = state if out[state] else link[state]
-            while at:
-                length, score, i = out[at]
-                if (value := best[end - length] + score) > top:
-                    top, how = value, (length, i)
-                at = link[at]
+            to = goto[state].get(c)
+            state = self._step(state, c) if to is None else to
+            top, how = best[-1] + unknown, None
+            for piece in ends[state]:
+                if (value := best[end - piece[0]] + piece[1]) > top:
+                    top, how = value, piece
             best.append(top)
             chosen.append(how)
         ids: list[int] = []
@@ -103,7 +118,7 @@ class Pieces:
                 ids += [self.bytes[b] for b in reversed(text[end - 1].encode())]
                 end -= 1
             else:
-                ids.append(how[1])
+                ids.append(how[2])
                 end -= how[0]
         return ids[::-1], best[-1]
 
