@@ -51,9 +51,14 @@ def current(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return best.select(*keys, *(F.col(f"b.{c}").alias(c) for c in rest))
 
 
-def window_counts(events: DataFrame, window: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    """window_ms, status, n of (at_ms, status); an event later than ``delay`` behind the newest is dropped."""
-    timed = events.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
+def window_counts(events: DataFrame, window: str = "1 hour", delay: str | None = "1 day") -> DataFrame:
+    """window_ms, status, n of (at_ms, status); an event later than ``delay`` behind the newest is dropped.
+
+    Without a delay every event counts, in whatever order files bring them; a count is then kept for each window and status.
+    """
+    timed = events.withColumn("at", F.timestamp_millis("at_ms"))
+    if delay is not None:
+        timed = timed.withWatermark("at", delay)
     counts = timed.groupBy(F.window("at", window).alias("w"), "status").agg(F.count("*").alias("n"))
     return counts.select(F.unix_millis("w.start").alias("window_ms"), "status", "n")
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
+from quire.plans import streams  # noqa: F401
+from quire.plans.registry import QUERIES
 from quire.streaming import events
 
 SCHEMA = "at_ms long, status string"
@@ -43,6 +46,16 @@ def test_events_behind_the_watermark_are_dropped(spark, tmp_path):
     assert {(r.window_ms, r.n) for r in events.current(spark, out, "window_ms", "status").collect()} == {(10 * day, 3)}
 
 
+def test_the_query_counts_events_in_any_order_of_files(spark, tmp_path):
+    days = datetime(2024, 1, 1), datetime(2024, 1, 11)
+    n = 2 * events.FILES_PER_TRIGGER + 1  # three micro-batches: the watermark of the first drops from the third on
+    for i in range(n):
+        rows = [(2 * i + k, day, 1, "click", '{"k": 1}') for k, day in enumerate(days)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["st05_window_counts"](spark, str(tmp_path)).select("window_ms", "status", "n").collect())
+    assert got == [(1_704_067_200_000, "ocr", n), (1_704_931_200_000, "ocr", n)]
+
+
 def throttled_by_hand(rows, faithful):
     last, out = {}, []
     for event, job, at, status in sorted(rows, key=lambda r: (r[2], r[0])):
