@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Advance widths by ASCII character, in thousandths of an em; any other byte is 500 wide.
 GLYPH_WIDTHS = {
@@ -33,13 +36,33 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+_BYTE_WIDTHS = np.full(256, OTHER_WIDTH, np.int64)
+for _characters, _width in GLYPH_WIDTHS.items():
+    _BYTE_WIDTHS[list(_characters.encode())] = _width
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text starts, and the last one ends, in the bytes of all; those bytes."""
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    return ends - ends[0], np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def _widths(texts: pa.Array) -> pa.Array:
+    """One look-up a byte: widths summed up over all texts of a batch, and what lies between a text's ends."""
+    ends, data = utf8(texts)
+    sums = np.concatenate(([0], np.cumsum(_BYTE_WIDTHS[data])))
+    return pa.array(np.diff(sums[ends]), pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
+_word_width = F.arrow_udf(_widths, LongType())
+
+
 def word_width(text: Column) -> Column:
-    """Sum of glyph widths over the UTF-8 bytes of a word: each width class is counted by what is left without it."""
-    total = F.octet_length(text) * OTHER_WIDTH
-    for characters, width in GLYPH_WIDTHS.items():
-        count = F.length(text) - F.length(F.translate(text, characters, ""))
-        total = total + count * (width - OTHER_WIDTH)
-    return total.cast("long")
+    """Sum of glyph widths over the UTF-8 bytes of a word."""
+    return _word_width(text)
 
 
 def escaped(text: Column) -> Column:
