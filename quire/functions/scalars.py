@@ -67,7 +67,9 @@ def word_width(text: Column) -> Column:
 
 def escaped(text: Column) -> Column:
     """Backslash before ( ) and backslash."""
-    return F.regexp_replace(text, r"([()\\])", r"\\$1")
+    for c in "\\()":
+        text = F.replace(text, F.lit(c), F.lit("\\" + c))
+    return text
 
 
 def pdf_number(x: Column) -> Column:
@@ -76,6 +78,13 @@ def pdf_number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.format_string("%d", F.floor(x))).otherwise(F.format_string("%.2f", x))
 
 
+def quarters(n: Column) -> Column:
+    """What :func:`pdf_number` makes of a whole number of quarters, without a formatter."""
+    size = F.abs(n)
+    part = F.when(size % 4 == 1, ".25").when(size % 4 == 2, ".50").when(size % 4 == 3, ".75").otherwise("")
+    return F.concat(F.when(n < 0, "-").otherwise(""), F.shiftright(size, 2).cast("string"), part)
+
+
 def font_size(left: Column, right: Column, top: Column, bottom: Column, width: Column, page_w: Column, page_h: Column, image_w: Column, image_h: Column) -> Column:
     """From the word's width where its glyphs have one, else from its height; at least 1."""
     by_width = (right - left) * page_w / F.greatest(image_w, F.lit(1)) / (width / 1000.0)
