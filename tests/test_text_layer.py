@@ -27,7 +27,7 @@ def test_width_is_one_look_up_a_byte(spark):
     assert [got[i] for i in range(len(words))] == [width_by_hand(w) for w in words]
 
 
-@pytest.mark.parametrize("name", ["txt02_word_width", "snk09_text_layer"])
+@pytest.mark.parametrize("name", ["txt02_word_width", "txt03_font_size", "txt04_coordinates", "snk09_text_layer"])
 def test_no_word_is_shuffled_or_translated(spark, sf_small, name):
     plan = plan_of(QUERIES[name](spark, sf_small))
     assert "Exchange" not in plan and "translate(" not in plan
